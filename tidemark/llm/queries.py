@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .quality_rules import quality_rules
 from .sharding import shard
 
 
@@ -10,8 +11,13 @@ def op8_feistel_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op10_robust_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_feistel_sharding": op8_feistel_sharding,
+    "op10_robust_quality_rules": op10_robust_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
