@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import table
+from .near_dedup import near_duplicates
+from .packing import pack
 from .quality_rules import quality_rules
 from .sharding import shard
 
@@ -15,9 +17,41 @@ def op10_robust_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bounded_space_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_hyperminhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
+    "op3_bounded_space_packing": op3_bounded_space_packing,
     "op8_feistel_sharding": op8_feistel_sharding,
     "op10_robust_quality_rules": op10_robust_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_hyperminhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(list_slice(w, i, i + 4), ' ') FOR i IN range(1, len(w) - 3)])
+                      WHEN len(w) >= 1 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS s
+  FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.root AS component_id, s.doc_id = c.root AS kept
+FROM s JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) c ON c.node = s.doc_id
+""",
+}
