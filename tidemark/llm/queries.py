@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
@@ -31,7 +32,12 @@ def op4_hyperminhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_wu_manber_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op7_wu_manber_decontamination": op7_wu_manber_decontamination,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op3_bounded_space_packing": op3_bounded_space_packing,
     "op8_feistel_sharding": op8_feistel_sharding,
@@ -53,5 +59,24 @@ l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.root AS component_id, s.doc_id = c.root AS kept
 FROM s JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) c ON c.node = s.doc_id
+""",
+    "op7_wu_manber_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, unnest([array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') FOR i IN range(1, len(w) - least(10, len(w)) + 2)]) AS g
+  FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM p),
+o AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k WHERE len(w) >= k),
+h AS (SELECT o.doc_id, o.i, o.k, p.item_id FROM o JOIN p ON p.k = o.k AND p.g = array_to_string(list_slice(o.w, o.i, o.i + o.k - 1), ' ')),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(m.s, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """,
 }
