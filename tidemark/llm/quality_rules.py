@@ -5,8 +5,8 @@ fail a text outright (``base_failed``). For the rest, every (language, source) g
 minimum-covariance-determinant estimate of location and scatter of four transformed statistics:
 two deterministic starts (scaled distance and largest scaled deviation from the median), C-steps
 that keep the ``core`` share of rows with the smallest Mahalanobis distance, and the start with the
-smaller determinant. A text is rejected when its distance, scaled so that the group's median agrees
-with a chi-square variable, exceeds ``cutoff``.
+smaller determinant. A text is rejected when its distance, scaled down where the group's median exceeds
+that of a chi-square variable, exceeds ``cutoff``.
 
 Groups with fewer than ``min_rows`` texts are pooled by language, then altogether; texts of a pool
 that is still smaller get no verdict and stay. Group parameters are broadcast while there are at
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Least standard deviation of each transformed statistic.
-FLOORS = (0.35, 0.06, 0.02, 0.08)
+FLOORS = (0.35, 0.06, 0.02, 0.2)
 DIMS = tuple(f"x{i}" for i in range(len(FLOORS)))
 #: Median of a chi-square variable with four degrees of freedom.
 CHI2_MEDIAN = 3.3567
@@ -128,7 +128,7 @@ def quality_rules(docs: DataFrame, core: float = 0.75, c_steps: int = 3, cutoff:
     best = params.groupBy("g").agg(F.min_by(F.struct(*[c for c in params.columns if c != "g"]), F.struct("logdet", "start")).alias("p")).select("g", "p.*").drop("start", "logdet")
     typical = _attach(judged, best, ["g"], groups, broadcast_groups).groupBy("g").agg(F.median(_distance()).alias("typical"), F.count("*").alias("members"))
     best = materialise(best.join(typical, "g"), "estimates")
-    scale = F.greatest(F.col("typical") / CHI2_MEDIAN, F.lit(1e-3))
+    scale = F.greatest(F.col("typical") / CHI2_MEDIAN, F.lit(1.0))
     out = _attach(rows, best, ["g"], groups, broadcast_groups)
     distance = F.when(~F.col("base_failed"), _distance() / scale)
     bad = F.coalesce((F.col("members") >= 2 * len(DIMS) + 2) & (F.col("distance") > cutoff), F.lit(False))
