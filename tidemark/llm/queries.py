@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .common import table
 from .decontaminate import contamination
+from .language_id import language_ids
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .sharding import shard
 
@@ -36,7 +38,17 @@ def op7_wu_manber_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_bitmask_language_id(spark, sf_dir):
+    return language_ids(table(spark, sf_dir, "documents"))
+
+
+def op6_fourier_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_bitmask_language_id": op1_bitmask_language_id,
+    "op6_fourier_quality_classifier": op6_fourier_quality_classifier,
     "op7_wu_manber_decontamination": op7_wu_manber_decontamination,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op3_bounded_space_packing": op3_bounded_space_packing,
