@@ -152,21 +152,28 @@ def chain(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def sum_vectors(df: DataFrame, fan_in: int = 32) -> np.ndarray | None:
-    """Sum float64 vectors of one length, held as bytes in the column ``vector``, level by level.
+def sum_chunks(df: DataFrame, dtype=np.float64, fan_in: int = 32) -> DataFrame:
+    """Sum the vectors (bytes of ``dtype`` in the column ``vector``) of each ``chunk``, level by level.
 
-    Each task adds up at most ``fan_in`` vectors, and the driver receives at most ``fan_in``.
-    None where there are no rows.
+    Each task adds up at most ``fan_in`` vectors at a time; the result has one row for each chunk.
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(v, np.float64) for v in pdf["vector"]], axis=0)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // fan_in], "vector": [total.tobytes()]})
-
-    level = materialise(df.select(F.spark_partition_id().cast("long").alias("part"), "vector"), "vectors")
-    n = level.count()
-    while n > fan_in:
-        level = materialise(level.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(add, "part long, vector binary"), "vectors")
-        n = level.count()
-    rows = level.collect()
+        total = np.frombuffer(pdf["vector"].iloc[0], dtype).copy()
+        for v in pdf["vector"].iloc[1:]:
+            total += np.frombuffer(v, dtype)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // fan_in], "chunk": [int(pdf["chunk"].iloc[0])], "vector": [total.tobytes()]})
+
+    level = df.select(F.spark_partition_id().cast("long").alias("part"), F.col("chunk").cast("long").alias("chunk"), "vector")
+    while True:
+        level = materialise(level, "vectors")
+        parts = level.agg(F.max("part")).first()[0]
+        if not parts:
+            return level.select("chunk", "vector")
+        level = level.groupBy("chunk", F.floor(F.col("part") / fan_in)).applyInPandas(add, "part long, chunk long, vector binary")
+
+
+def sum_vectors(df: DataFrame) -> np.ndarray | None:
+    """Sum of float64 vectors of one length in the column ``vector``; None where there are no rows."""
+    rows = sum_chunks(df.select(F.lit(0).alias("chunk"), "vector")).collect()  # one row, or several of part 0
     return np.sum([np.frombuffer(r.vector, np.float64) for r in rows], axis=0) if rows else None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontaminate import contamination
 from .language_id import language_ids
+from .lm_mixing import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_classifier import quality_scores
@@ -46,7 +47,12 @@ def op6_fourier_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_context_mixing_lm(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_context_mixing_lm": op5_context_mixing_lm,
     "op1_bitmask_language_id": op1_bitmask_language_id,
     "op6_fourier_quality_classifier": op6_fourier_quality_classifier,
     "op7_wu_manber_decontamination": op7_wu_manber_decontamination,
