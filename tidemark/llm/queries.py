@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .decontaminate import contamination
+from .html_extract import extract
 from .language_id import language_ids
 from .lm_mixing import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .sharding import shard
@@ -51,7 +55,17 @@ def op5_context_mixing_lm(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_site_style_tree_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_skip_chain_pii(spark, sf_dir):
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_site_style_tree_text": op2_site_style_tree_text,
+    "op9_skip_chain_pii": op9_skip_chain_pii,
     "op5_context_mixing_lm": op5_context_mixing_lm,
     "op1_bitmask_language_id": op1_bitmask_language_id,
     "op6_fourier_quality_classifier": op6_fourier_quality_classifier,
