@@ -19,10 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORD, Words, chain, steps, utf8_parts
+from .sharding import number_rows
 
 
 class PatternSet:
@@ -114,25 +116,55 @@ def merged(spans: list) -> list[list[int]]:
     return out
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct test strings and the number of blocks that keep each within ``block_bytes``."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return items, max(1, -(-total // block_bytes))
+
+
+def _block(items: DataFrame, b: int, blocks: int, window: int):
+    """The broadcast pattern sets of one block of items."""
+    some = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+    return items.sparkSession.sparkContext.broadcast(pattern_sets([tuple(r) for r in some.collect()], window))
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows in whose text no window of the benchmark occurs; one pass, no join."""
+    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
+    for b in range(blocks):
+        docs = docs.filter(~_hit(_block(items, b, blocks, window))(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs
+
+
+def _hit(patterns):
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        data = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
+        data, out = np.frombuffer(b"".join(data), np.uint8), np.zeros(len(texts), bool)
+        for a, b in steps(offsets):
+            words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1], ALNUM_WORD)
+            for own in patterns.value:
+                for first, _ in occurrences(words, own):
+                    out[a + words.row[first]] = True
+        return pd.Series(out)
+
+    return run
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, spans (disjoint [first, end) word ranges of hits) and items (ids as strings)."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
     key = F.col(id_col).alias("row")
     if blocks > 1:  # rows of several passes meet by a number of their own
-        from .sharding import number_rows
-
         rows, _ = number_rows(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
         docs, key, text_col = rows, F.col("row_number").alias("row"), "_text"
     texts = docs.select(key, F.col(text_col).alias("text"))
     schema = f"row {texts.schema['row'].dataType.simpleString()}, n_words long, spans array<array<long>>, items array<string>"
     out = None
     for b in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        patterns = spark.sparkContext.broadcast(pattern_sets([tuple(r) for r in some.collect()], window))
-        found = texts.mapInArrow(_search(patterns), schema)
+        found = texts.mapInArrow(_search(_block(items, b, blocks, window)), schema)
         out = found if out is None else out.unionByName(found)
     if blocks == 1:
         return out.withColumnRenamed("row", "doc_id")
