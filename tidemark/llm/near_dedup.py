@@ -5,15 +5,14 @@
    mantissa bits of its smallest hash. Empty buckets copy the first filled one of a fixed
    permutation, so small sets have full sketches too.
 2. Texts with equal sets are one class; from here on only classes are compared.
-3. Bands of registers put classes into buckets. Every bucket names a pivot, and each member is a
-   candidate with the pivot. Candidates whose Jaccard estimate, corrected for register collisions,
-   lies far below the threshold are dropped.
-4. Candidates are confirmed on full sets, best first: for each component so far its most similar
-   pair across components, a few rounds long, then all others that still cross components.
-5. Members of a bucket that are still in different components are compared with each other in
-   blocks of bounded size, registers first. Pairs inside one component need no comparison, as they
-   cannot change it, so large groups of copies stay linear.
-6. Components come from alternating large-star and small-star steps.
+3. Bands of registers put classes into buckets. Every bucket names a pivot; members whose Jaccard
+   estimate with it, corrected for register collisions, comes near the threshold form a cluster with it.
+   In buckets that hold several clusters still, all pairs across clusters are estimated in blocks of bounded size.
+4. Full sets meet once in their cluster and are compared there, most similar first; pairs that are
+   connected already need no comparison, as they cannot change a component. Clusters of more than
+   ``BLOCK`` classes are compared within blocks, then, where they are not one component, between blocks. Tasks emit
+   links that join components, fewer than their rows, never pairs of a group.
+5. Components come from alternating large-star and small-star steps.
 
 A link at the threshold is missed only if it shares none of the bands: (1 - 0.75^4)^32, 5 in a million,
 and then only matters if no other link joins the two components.
@@ -40,8 +39,8 @@ from .common import Words, chain, materialise, mix64, steps, utf8_parts
 BUCKETS, MANTISSA, BAND = 128, 10, 4
 #: Constant of the published estimate of chance collisions between two HyperMinHash registers.
 COLLISION = 0.169919487159739
-#: Rows of a block when members of one bucket are compared with each other.
-BLOCK = 512
+#: Rows, and shingles in all, of a block whose members are compared with each other.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 
 _EMPTY = np.uint16(0xFFFF)
 _PREFERENCE = np.argsort(np.random.default_rng(7).random((BUCKETS, BUCKETS)), axis=1).astype(np.int64)
@@ -126,42 +125,77 @@ def _estimated(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Ser
     return pd.Series(estimate(_matrix(a), _matrix(b), n.to_numpy(), m.to_numpy()))
 
 
-@F.pandas_udf(T.LongType())
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+class Union:
+    """Smallest member of each set of joined rows, for one block."""
 
+    def __init__(self, n: int):
+        self.up = np.arange(n)
 
-def _within(least: float):
-    """Pairs across components among the rows of each (key, i, j) block, by their registers.
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
-    Rows arrive sorted by block; side 0 belongs to both halves of a block compared with itself.
-    """
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        registers, n, comp, node = _matrix(rows["registers"]), rows["n_shingles"].to_numpy(), rows["comp"].to_numpy(), rows["node"].to_numpy()
-        own = rows["i"].iloc[0] == rows["j"].iloc[0]
-        left = np.arange(len(rows)) if own else np.flatnonzero(rows["blk"] == rows["i"])
-        right = left if own else np.flatnonzero(rows["blk"] == rows["j"])
-        found = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if own else True)]
-            e = estimate(registers[y], registers[x], n[y], n[x])
-            ok = e >= least
-            found += [(min(node[x], v), max(node[x], v), s) for v, s in zip(node[y[ok]], e[ok], strict=True)]
-        return pd.DataFrame(found, columns=["a", "b", "est"])
+def block_links(rows: pd.DataFrame, least: float, threshold: float | None) -> pd.DataFrame:
+    """Links (a, b) that join components among the rows of one block pair, at most one less than rows.
+
+    Pairs are those of side ``i`` with side ``j`` (all pairs where they are the same) in different
+    components; their estimate must reach ``least`` and, given a ``threshold``, their full sets confirm it.
+    """
+    registers, n, comp, node = _matrix(rows["registers"]), rows["n_shingles"].to_numpy(), rows["comp"].to_numpy(), rows["node"].to_numpy()
+    own = rows["i"].iloc[0] == rows["j"].iloc[0]
+    blk = rows["blk"].to_numpy()
+    left = np.arange(len(rows)) if own else np.flatnonzero(blk == rows["i"].iloc[0])
+    right = left if own else np.flatnonzero(blk == rows["j"].iloc[0])
+    union, found = Union(len(rows)), []
+    for group in pd.Series(np.arange(len(rows))).groupby(comp).indices.values():
+        for k in group[1:]:
+            union.join(group[0], k)
+    sets = None if threshold is None else [np.frombuffer(x, np.uint64) for x in rows["set"]]
+    labels = np.array([union.root(k) for k in range(len(rows))])
+    for x in left:
+        y = right[right > x] if own else right
+        y = y[labels[y] != labels[x]]
+        if threshold is not None:
+            y = y[100 * np.minimum(n[y], n[x]) >= 100 * threshold * np.maximum(n[y], n[x])]
+        e = estimate(registers[y], registers[x], n[y], n[x])
+        y = y[e >= least][np.argsort(-e[e >= least], kind="stable")]
+        for k in y:
+            if labels[k] == labels[x]:
+                continue
+            if sets is not None:
+                both = np.count_nonzero(np.isin(sets[k], sets[x], assume_unique=True)) if len(sets[k]) < 64 else len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                if not 100 * both >= 100 * threshold * (n[x] + n[k] - both):
+                    continue
+            union.join(x, k)
+            low, high = sorted((labels[x], labels[k]))
+            labels[labels == high] = low
+            found.append((min(node[x], node[k]), max(node[x], node[k])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _blocks(keys: list[str], least: float, threshold: float | None):
+    """Runs :func:`block_links` on each run of rows with equal ``keys``; rows arrive sorted by them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for frame in frames:
             frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
-            change = (frame[["key", "i", "j"]] != frame[["key", "i", "j"]].shift()).any(axis=1).to_numpy()
-            edges = np.append(np.flatnonzero(change), len(frame))
+            if not len(frame):
+                continue
+            edges = np.append(np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()), len(frame))
             for s, e in zip(edges[:-2], edges[1:-1], strict=True):
                 if e - s > 1:
-                    yield pairs(frame.iloc[s:e])
-            kept = frame.iloc[edges[-2] :] if len(frame) else None
+                    yield block_links(frame.iloc[s:e], least, threshold)
+            kept = frame.iloc[edges[-2] :]
         if kept is not None and len(kept) > 1:
-            yield pairs(kept)
+            yield block_links(kept, least, threshold)
 
     return run
 
@@ -188,82 +222,98 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.select(F.col("u").alias("node"), "comp").union(roots.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75, margin: float = 0.2, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75, margin: float = 0.2, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row, see the module's text.
 
     ``margin`` below the threshold is where estimates end the search: 5 standard deviations of a
-    sketch. ``rounds`` is the number of best-pair rounds before all remaining pairs are confirmed.
+    sketch. Cluster numbers of candidates are broadcast while there are ``broadcast_rows`` at most.
     """
+    least = threshold - margin
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(texts.mapInArrow(_sketches(size), "doc_id long, n_shingles long, fp1 long, fp2 long, registers binary"), "sketches")
     held = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialise(held.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.min_by("registers", "doc_id").alias("registers"), F.max("n_shingles").alias("n_shingles")), "classes")
+    facts = classes.select("node", "registers", "n_shingles")
 
+    # bands: buckets with more than one class, and each member with the bucket's pivot
     keyed = classes.select("node", "registers").mapInArrow(_bands, "key long, node long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("_p")).filter("members > 1")
     pivots = shared.select("key", "members", F.col("_p").bitwiseXOR(F.col("key")).alias("pivot"))
     members = materialise(keyed.join(pivots, "key"), "members")
-
-    facts = classes.select("node", "registers", "n_shingles")
     side = lambda x: facts.select(F.col("node").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     star = members.filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    sizes = 100 * F.least("n_a", "n_b") >= F.lit(100 * threshold) * F.greatest("n_a", "n_b")
-    star = star.join(side("a"), "a").join(side("b"), "b").filter(sizes).select("a", "b", _estimated("r_a", "r_b", "n_a", "n_b").alias("est"))
-    untested = materialise(star.filter(F.col("est") >= threshold - margin), "pairs")
-
-    # full sets of the texts that are in any candidate; later candidates fetch theirs likewise
-    def sets_of(batches: Iterator) -> Iterator:
+    likely = star.join(side("a"), "a").join(side("b"), "b").filter(_estimated("r_a", "r_b", "n_a", "n_b") >= least).select("a", "b")
+    clusters = materialise(components(materialise(likely, "likely")), "clusters")
+
+    # buckets that are not one cluster yet: all their pairs across clusters, by registers
+    apart = members.filter("members > 2").join(clusters, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low != high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    apart = _paired(apart.join(mixed, "key")).join(facts, "node").select("key", "i", "j", "blk", "node", "comp", "registers", "n_shingles")
+    more = apart.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_blocks(["key", "i", "j"], least, None), "a long, b long")
+    more = materialise(more, "likely")
+    if not more.isEmpty():
+        over = components(_across(more, clusters), "c_a", "c_b")
+        clusters = materialise(_relabelled(clusters, over), "clusters")
+
+    # full sets meet once in their cluster, or in the block pairs of a large one
+    sized = clusters.join(classes.select("node", "n_shingles"), "node").withColumnRenamed("comp", "cluster")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = sized.join(sized.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
+    sized = materialise(sized.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(F.col("node").alias("doc_id"), "cluster", "blocks", "blk"), "sized")
+    count, largest = sized.agg(F.count("*"), F.max("blocks")).first()
+
+    def with_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = utf8_parts(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())], ["node", "set"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = texts.filter(F.col("doc_id").isNotNull()).join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = materialise(sets.select("doc_id", "text").mapInArrow(sets_of, "node long, set binary"), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b")
-        counted = both.select("a", "b", _common("s_a", "s_b").alias("both"), (F.octet_length("s_a") / 8 + F.octet_length("s_b") / 8).alias("total"))
-        return materialise(counted.filter(100 * F.col("both") >= F.lit(100 * threshold) * (F.col("total") - F.col("both"))).select("a", "b"), "links")
-
-    spark = docs.sparkSession
-    comp = spark.createDataFrame([], "node long, comp long")
-
-    def crossing(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends lie in different components, with these."""
-        c = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
-        out = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left")
-        return out.withColumn("c_a", F.coalesce("c_a", "a")).withColumn("c_b", F.coalesce("c_b", "b")).filter("c_a != c_b")
-
-    def joined(links: DataFrame) -> DataFrame:
-        """The components after these links."""
-        over = components(crossing(links), "c_a", "c_b").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        old = comp.join(over, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        new = over.select(F.col("comp").alias("node"), F.col("to").alias("comp")).join(comp.select("node"), "node", "left_anti")
-        return materialise(old.unionByName(new), "components")
-
-    for _ in range(rounds):
-        cross = materialise(crossing(untested), "crossing")
-        best = cross.select(F.col("c_a").alias("c"), "a", "b", "est").union(cross.select("c_b", "a", "b", "est")).groupBy("c").agg(F.max(F.struct("est", "a", "b")).alias("p"))
-        chosen = materialise(best.select("p.a", "p.b").distinct(), "chosen")
-        comp = joined(confirmed(chosen))
-        untested = cross.select("a", "b", "est").join(chosen, ["a", "b"], "left_anti")
-    comp = joined(confirmed(materialise(crossing(untested).select("a", "b"), "chosen")))
-
-    # members that share a bucket, apart from its pivot, and are in different components still
-    apart = members.filter("members > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low != high").select("key", "m")
-    apart = apart.filter("node != pivot").join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    apart = apart.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
-    apart = apart.join(facts, "node").select("key", "i", "j", "blk", "node", "comp", "registers", "n_shingles")
-    found = apart.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_within(threshold - margin), "a long, b long, est double")
-    rest = materialise(found.select("a", "b").distinct(), "pairs")
-    if not rest.isEmpty():
-        comp = joined(confirmed(rest))
+            sets = list(shingle_sets(data, offsets, size))
+            filled = [i for i, s in enumerate(sets) if len(s)]
+            columns = [batch.column(k).take(pa.array(filled, pa.int64())) for k in (0, 2, 3, 4, 5, 6)]
+            own = [pa.array([sketch(sets[i]).tobytes() for i in filled], pa.binary()), pa.array([len(sets[i]) for i in filled], pa.int64()), pa.array([sets[i].tobytes() for i in filled], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + own, ["node", "cluster", "i", "j", "blk", "comp", "registers", "n_shingles", "set"])
+
+    def confirmed(wanted: DataFrame, n: int) -> DataFrame:
+        """Links among ``wanted``: (doc_id, cluster, i, j, blk, comp)."""
+        wanted = F.broadcast(wanted) if n <= broadcast_rows else wanted
+        sets = texts.join(wanted, "doc_id").select("doc_id", "text", "cluster", "i", "j", "blk", "comp")
+        sets = sets.mapInArrow(with_sets, "node long, cluster long, i int, j int, blk int, comp long, registers binary, n_shingles long, set binary")
+        key = ["cluster", "i", "j"]
+        return materialise(sets.repartition(*key).sortWithinPartitions(*key).mapInPandas(_blocks(key, least, threshold), "a long, b long"), "links")
+
+    inner = sized.select("doc_id", "cluster", F.col("blk").alias("i"), F.col("blk").alias("j"), "blk", F.col("doc_id").alias("comp"))
+    comp = materialise(components(confirmed(inner, count)), "components")
+    if largest and largest > 1:
+        known = sized.filter("blocks > 1").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        open_ = known.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("cluster")
+        crossed = materialise(_paired(known.join(open_, "cluster")).filter("i != j").select("doc_id", "cluster", "i", "j", "blk", "comp"), "crossed")
+        links = confirmed(crossed, crossed.count())
+        if not links.isEmpty():
+            comp = materialise(_relabelled(comp, components(_across(links, comp), "c_a", "c_b")), "components")
 
     root = classes.select("fp1", "fp2", "node").join(comp, "node", "left").select("fp1", "fp2", F.coalesce("comp", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp1")).alias("fp1"), "fp2").join(root, ["fp1", "fp2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Each row once for every block pair (i <= j) that its block ``blk`` of ``blocks`` belongs to."""
+    if "blk" not in rows.columns:
+        rows = rows.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("blk", "_other")).withColumn("j", F.greatest("blk", "_other")).drop("_other")
+
+
+def _across(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links as pairs of the components of their ends."""
+    c = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
+    out = links.join(c("a"), "a", "left").join(c("b"), "b", "left")
+    return out.select(F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
+
+
+def _relabelled(comp: DataFrame, over: DataFrame) -> DataFrame:
+    """Components of nodes after the components themselves were joined by ``over`` (node, comp)."""
+    to = over.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+    old = comp.join(to, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    return old.unionByName(over.join(comp.select("node"), "node", "left_anti").select("node", "comp"))
