@@ -1,0 +1,100 @@
+"""Tables on disk, texts, pages and names."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as tx
+from tidemark.operators import names
+from tidemark.sources import archive, pages
+
+
+def one(spark, value, build):
+    return spark.createDataFrame([(value,)], "x string").select(build(F.col("x")).alias("y")).first().y
+
+
+@pytest.mark.parametrize(("value", "want"), [("20 643 040", 20643040.0), ("245,80", 245.8), ("1.234,5", 1234.5), ("-0,32 %", -0.32), ("-", None), ("--", None), ("", None), ("12.5", 12.5), ("1\xa0200 FCFA", 1200.0), (None, None)])
+def test_french_numbers(spark, value, want):
+    assert one(spark, value, tx.number) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("04/09/2026", (2026, 9, 4)), ("4-9-2026", (2026, 9, 4)), ("2026-09-04", (2026, 9, 4)), ("04.09.2026", (2026, 9, 4)), ("04/09/26", (2026, 9, 4)), ("4 septembre 2026", (2026, 9, 4)), ("Lundi, 27 juillet, 2026", (2026, 7, 27)), ("30/02/2026", None), ("30 février 2026", None), ("soon", None), (None, None)])
+def test_dates_are_read_or_null(spark, value, want):
+    assert one(spark, value, tx.day) == (want and datetime.date(*want))
+
+
+def test_names_lose_accents_and_country(spark):
+    assert one(spark, "  Société  Générale - Côte d'Ivoire", tx.without_country) == "societe generale"
+    date, hour = tx.session_stamp(F.col("x"))
+    got = spark.createDataFrame([("Dernière mise à jour : Lundi, 27 juillet, 2026 à 15h05",)], "x string").select(date.alias("d"), hour.alias("h")).first()
+    assert (got.d, got.h) == (datetime.date(2026, 7, 27), "15:05")
+
+
+def test_upsert_replaces_by_key_last_wins_and_log_appends(spark, tmp_path):
+    kind = "date date, ticker string, close double, n int"
+    day = datetime.date(2024, 1, 2)
+    old = archive.conform(spark.createDataFrame([(day, "AA", 1.0, 0), (day, "BB", 2.0, 0)], kind), "quotes")
+    new = spark.createDataFrame([(day, "AA", 5.125, 1), (day, "AA", 6.125, 2), (day, "CC", float("nan"), 1)], kind)
+    got = archive.upsert(old, new, "quotes", "n")
+    assert sorted((r.ticker, r.close) for r in got.collect()) == [("AA", 6.12), ("BB", 2.0)]
+    path = archive.write_version(got, str(tmp_path))
+    assert archive.read(spark, "quotes", path).count() == 2
+    assert archive.export_csv(got, "quotes", str(tmp_path / "csv")) == 2
+    assert archive.read_csv(spark, "quotes", str(tmp_path / "none")).count() == 0
+    log = archive.log_rows(got, "page", "2024-01-02 10:00:00", "x" * 900)
+    assert len(archive.upsert(archive.upsert(archive.empty(spark, "ingest_log"), log, "ingest_log"), log, "ingest_log").first().message) == 500
+    with pytest.raises(ValueError):
+        archive.read(spark, "nothing", path)
+    with pytest.raises(ValueError):
+        archive.conform(spark.range(1), "quotes")
+
+
+def test_tables_of_a_page(spark):
+    html = "<table><tr><th>Symbole</th><th>Cours Clôture</th><th>Volume</th></tr><tr><td>abcd </td><td>1 200,5</td><td>10</td></tr><tr><td>x</td></tr><tr><td>TOOLONGX</td><td>5</td><td>1</td></tr><tr><td>EFGH</td><td>0</td><td>1</td></tr></table><table><tr><th>only</th></tr></table>"
+    found = pages.html_tables(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
+    assert found.count() == 3
+    got = pages.session_quotes(found, F.lit("2024-01-02").cast("date")).collect()
+    assert [(r.ticker, r.close, r.volume_value) for r in got] == [("ABCD", 1200.5, 12005.0)]
+    assert len(pages.page_fingerprints(found).first().fingerprint) == 16
+
+
+def test_paging_ends_where_pages_repeat_or_bring_nothing(spark):
+    seen = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "page_id long, fingerprint string")
+    assert sorted(r.page_id for r in pages.before_repetition(seen).collect()) == [1, 2]
+    rows = spark.createDataFrame([(1, "A"), (1, "B"), (2, "C"), (3, "A"), (4, "D")], "page_no int, ticker string")
+    assert sorted(r.ticker for r in pages.before_nothing_new(rows).collect()) == ["A", "B", "C"]
+
+
+def test_payloads_tranches_symbols_and_links(spark):
+    rows = spark.createDataFrame([("AA", '{"lst":[{"Date":"05/01/2024","Close":"1,5","Volume":"7"},{"Date":"?","Close":"2"},{"Date":"06/01/2024"}]}')], "ticker string, payload string")
+    assert [(r.close, r.volume) for r in pages.history_payload(rows).collect()] == [(1.5, 7.0)]
+    parts = pages.tranches(spark.createDataFrame([(datetime.date(2024, 1, 1), datetime.date(2024, 4, 30))], "start date, end date")).orderBy("from").collect()
+    assert [(r["to"] - r["from"]).days for r in parts] == [88, 31]
+    with pytest.raises(Exception, match="reversed"):
+        pages.tranches(spark.createDataFrame([(datetime.date(2024, 2, 1), datetime.date(2024, 1, 1))], "start date, end date")).collect()
+    known = pages.symbols(spark.createDataFrame([("SNTS.sn BRVM10.ci ABC",)], "menu string"), "ci")
+    assert [r.symbol for r in pages.with_symbol(spark.createDataFrame([("SNTS",), ("ABJC",)], "ticker string"), known, "ci").orderBy("ticker").collect()] == ["ABJC.ci", "SNTS.sn"]
+    html = "<table><tr><td>a</td><td>b</td><td>c</td><td><a href='x.pdf'>d</a></td></tr><tr><td>a</td></tr></table>"
+    assert [(r.text, r.hrefs) for r in pages.linked_rows(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()] == [("a b c d", ["x.pdf"])]
+
+
+def test_ambiguous_names_are_refused(spark):
+    known = spark.createDataFrame([("AAAA", "Banque du Nord Sénégal"), ("BBBB", "Banque du Nord Mali"), ("CCCC", "Huilerie")], "ticker string, name string")
+    alias = spark.createDataFrame([("Old Oil", "CCCC"), ("Gone", "ZZZZ")], "alias string, ticker string")
+    asked = spark.createDataFrame([(n,) for n in ("banque du nord", "BANQUE DU NORD MALI", "Huil", "Old oil", "Gone", "bbbb")], "name string")
+    got, rest = names.reconcile(asked, known, alias)
+    assert {r.name: (r.ticker, r.rule) for r in got.collect()} == {"BANQUE DU NORD MALI": ("BBBB", 3), "Huil": ("CCCC", 5), "Old oil": ("CCCC", 1), "bbbb": ("BBBB", 2)}
+    assert {r.name for r in rest.collect()} == {"banque du nord", "Gone"}
+
+
+def test_stream_merges_by_key(spark, tmp_path):
+    from tidemark.streaming import ingest
+
+    day = datetime.date(2024, 1, 2)
+    land, root = str(tmp_path / "land"), str(tmp_path / "table")
+    archive.conform(spark.createDataFrame([(day, "AA", 1.0)], "date date, ticker string, close double"), "quotes").write.parquet(land)
+    ingest.merge_batches(ingest.quote_stream(spark, land), root, str(tmp_path / "state")).awaitTermination()
+    archive.conform(spark.createDataFrame([(day, "AA", 3.0), (day, "BB", 2.0)], "date date, ticker string, close double"), "quotes").write.mode("append").parquet(land)
+    ingest.merge_batches(ingest.quote_stream(spark, land), root, str(tmp_path / "state")).awaitTermination()
+    assert sorted((r.ticker, r.close) for r in archive.read(spark, "quotes", f"{root}/v-1").collect()) == [("AA", 3.0), ("BB", 2.0)]
