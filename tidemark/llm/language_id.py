@@ -71,7 +71,8 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.nd
             for j in range(n):
                 h = h * np.uint64(0x110001) + code[at + j]
             hashes.append(mix64(h))
-            owners.append(np.searchsorted(starts, at + 1, "right") - 1)
+            inner = at + 1 if n > 2 else np.where(letter[at], at, at + 1)  # a letter of the n-gram
+            owners.append(np.searchsorted(starts, inner, "right") - 1)
         yield a, b, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(owners) if owners else np.zeros(0, int), letters
         a = b
 
