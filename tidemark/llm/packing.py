@@ -14,6 +14,7 @@ boundaries; repeated rows are packed each; no rows give an empty result; other c
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8_parts
+from .common import materialise, steps, utf8_parts
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _STATE = PIECE + ", part long, ids binary"
@@ -31,27 +32,52 @@ _STATE = PIECE + ", part long, ids binary"
 class WordTokens:
     """Ids, as little-endian unsigned 32-bit, of a text whose tokenizer never joins across ASCII space.
 
-    Words are encoded once and remembered, up to ``remember`` of them.
+    The tokenizer ignores case and takes letters and punctuation apart, so words are remembered in
+    lower case, and a word with one closing mark as the word and the mark. ``remember`` bounds the words kept:
+    beyond it, those that came last, the rarer ones, are forgotten. A worker keeps them from task to task.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 150_000):
+    known: dict[tuple, dict[bytes, bytes]] = {}
+
+    def __init__(self, path: str, end_id: int, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remember = Tokenizer.from_file(path), {}, remember
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.ids = self.known.setdefault((path,), {})
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        new = list(set(words) - self.known.keys())
-        if new:
-            if len(self.known) + len(new) > self.remember:
-                self.known, new = {}, list(set(words))
-            for a in range(0, len(new), 4096):
-                some = new[a : a + 4096]
-                for word, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words)) + self.end
+    def encode(self, words: list[bytes]) -> None:
+        """Words of plain letters are single pre-tokens: the tokenizer's model takes them as they are."""
+        tokenize, others = self.tokenizer.model.tokenize, []
+        for word in words:
+            if word.isalpha():
+                ids = [t.id for t in tokenize(word.decode())]
+                self.ids[word] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(word)
+        for a in range(0, len(others), 8192):
+            some = others[a : a + 8192]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                ids = e.ids
+                self.ids[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.lower().split() for t in texts]
+        new = [w for w in set().union(*split) if w not in self.ids]
+        if len(self.ids) + len(new) > self.remember:
+            for word in list(self.ids)[self.remember // 2 :]:
+                del self.ids[word]
+            new = [w for w in set().union(*split) if w not in self.ids]
+        marked = [w for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()]
+        if marked:
+            rest = set(new) - set(marked) | {w[:-1] for w in marked} | {b".", b","}
+            self.encode([w for w in rest if w not in self.ids])
+            for w in marked:
+                self.ids[w] = self.ids[w[:-1]] + self.ids[w[-1:]]
+        else:
+            self.encode(new)
+        return [b"".join(map(self.ids.__getitem__, words)) + self.end for words in split]
 
 
 class Packer:
@@ -147,9 +173,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
         schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in _STATE.split(", ")])
         for batch in batches:
             data, offsets = utf8_parts(batch.column(1))
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = tokens(data[offsets[i] : offsets[i + 1]].tobytes())
-                packer.add(doc_id, 0, len(ids) // 4, ids)
+            doc_ids = batch.column(0).to_pylist()
+            for a, b in steps(offsets, 1 << 20):
+                for doc_id, ids in zip(doc_ids[a:b], tokens([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]), strict=True):
+                    packer.add(doc_id, 0, len(ids) // 4, ids)
             yield pa.RecordBatch.from_pandas(packer.rows(part, False), schema=schema, preserve_index=False)
         yield pa.RecordBatch.from_pandas(packer.rows(part, True), schema=schema, preserve_index=False)
 
