@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near_dedup, packing, pii, quality_classifier
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import bounded_batches, materialise, table
 from tidemark.llm.queries import tokenizer_path
 
 #: Ids of dropped copies that may be broadcast: 8 MB of numbers.
@@ -27,6 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
+    bounded_batches(spark)
     found = materialise(near_dedup.near_duplicates(docs).select("doc_id", "kept").filter("doc_id is not null"), "verdicts")
     n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
     dropped = found.filter(~F.col("kept")).select("doc_id")
@@ -44,12 +45,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind and counts the characters anew."""
+    bounded_batches(spark)
     clean = pii.redact(docs, pii.fit(docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences; one row per piece."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
