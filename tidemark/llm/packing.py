@@ -39,7 +39,7 @@ class WordTokens:
 
     known: dict[tuple, dict[bytes, bytes]] = {}
 
-    def __init__(self, path: str, end_id: int, remember: int = 500_000):
+    def __init__(self, path: str, end_id: int, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
