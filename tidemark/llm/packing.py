@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,23 +40,29 @@ class WordTokens:
 
     known: dict[tuple, dict[bytes, bytes]] = {}
 
-    def __init__(self, path: str, end_id: int, remember: int = 300_000):
+    def __init__(self, path: str, end_id: int, remember: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.ids = self.known.setdefault((path,), {})
         self.end = np.array([end_id], "<u4").tobytes()
 
     def encode(self, words: list[bytes]) -> None:
-        """Words of plain letters are single pre-tokens: the tokenizer's model takes them as they are."""
-        tokenize, others = self.tokenizer.model.tokenize, []
+        """Words of Latin letters are single pre-tokens: the tokenizer's model takes them without the other steps."""
+        tokenize, as_bytes, others = self.tokenizer.model.tokenize, self.as_bytes.pre_tokenize_str, []
         for word in words:
             if word.isalpha():
                 ids = [t.id for t in tokenize(word.decode())]
-                self.ids[word] = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                others.append(word)
+                text = word.decode()
+                if not (text.isalpha() and max(text) < "\u0250" and len(lower := text.lower()) == len(text)):
+                    others.append(word)
+                    continue
+                ids = [t.id for t in tokenize(as_bytes(unicodedata.normalize("NFC", lower))[0][0])]
+            self.ids[word] = struct.pack(f"<{len(ids)}I", *ids)
         for a in range(0, len(others), 8192):
             some = others[a : a + 8192]
             for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
@@ -65,19 +72,16 @@ class WordTokens:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]
         new = [w for w in set().union(*split) if w not in self.ids]
-        if len(self.ids) + len(new) > self.remember:
-            for word in list(self.ids)[self.remember // 2 :]:
-                del self.ids[word]
-            new = [w for w in set().union(*split) if w not in self.ids]
         marked = [w for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()]
-        if marked:
-            rest = set(new) - set(marked) | {w[:-1] for w in marked} | {b".", b","}
-            self.encode([w for w in rest if w not in self.ids])
-            for w in marked:
-                self.ids[w] = self.ids[w[:-1]] + self.ids[w[-1:]]
-        else:
-            self.encode(new)
-        return [b"".join(map(self.ids.__getitem__, words)) + self.end for words in split]
+        wanted = set(new) - set(marked) | {w[:-1] for w in marked} | ({b".", b","} if marked else set())
+        self.encode([w for w in wanted if w not in self.ids])
+        self.ids.update([(w, self.ids[w[:-1]] + self.ids[w[-1:]]) for w in marked])
+        out = [b"".join(map(self.ids.__getitem__, words)) + self.end for words in split]
+        for w in marked:
+            del self.ids[w]
+        for w in list(self.ids)[self.remember // 2 :] if len(self.ids) > self.remember else ():
+            del self.ids[w]
+        return out
 
 
 class Packer:
