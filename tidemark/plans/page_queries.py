@@ -33,12 +33,13 @@ def quote_pages(spark, d):
     return table_page(rows, "page", ["Symbole", "Nom", "Plus bas", "Plus haut", "Cours Clôture", "Volume titres", "Variation (%)"], cells, F.col("ticker"))
 
 
-PAGE_DATE = F.expr("date_add(DATE '1990-01-01', CAST(page_id AS INT))")
+def page_date():
+    return F.expr("date_add(DATE '1990-01-01', CAST(page_id AS INT))")
 
 
 @query(f"""WITH {cte("quotes")} SELECT CAST(date AS VARCHAR) AS date, {CODE_SQL} AS ticker, round(low, 2) AS low, round(high, 2) AS close, round(volume_shares, 2) AS volume_shares, round(volume_shares * high, 2) AS volume_value FROM quotes""", digits=2)
 def quotes_from_pages(spark, d):
-    return pages.session_quotes(pages.html_tables(quote_pages(spark, d)), PAGE_DATE).select("date", "ticker", "low", "close", "volume_shares", "volume_value")
+    return pages.session_quotes(pages.html_tables(quote_pages(spark, d)), page_date()).select("date", "ticker", "low", "close", "volume_shares", "volume_value")
 
 
 @query(f"WITH {cte('quotes')} SELECT DISTINCT {CODE_SQL} AS ticker, concat('Company ', ticker) AS name FROM quotes")
