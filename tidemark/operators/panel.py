@@ -1,7 +1,7 @@
 """The dense panel of sessions by tickers, and as-of alignment.
 
 The panel stays long: one row per session and ticker, nulls where a ticker did not trade. The calendar has
-one row per session of the whole market, a few thousand for decades, so it is broadcast; tickers
+at most one row per day (36,525 for a century), whatever the number of tickers, so it is broadcast; tickers
 are not.
 """
 
@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.dedupe import one_per_key
 
-#: Sessions of the calendar that may be broadcast; beyond that the cross product is shuffled.
-BROADCAST_SESSIONS = 200_000
-
-
 def calendar(quotes: DataFrame, column: str = "close", group: str = "ticker") -> DataFrame:
     """Sessions in which any member has a value of ``column``."""
     return quotes.filter(F.col(column).isNotNull()).select("date").distinct()
