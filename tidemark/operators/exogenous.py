@@ -20,10 +20,11 @@ def variations(aligned: DataFrame, window: int, lag: int) -> DataFrame:
 def interactions(changes: DataFrame, tickers: DataFrame, mapping: DataFrame) -> DataFrame:
     """(date, ticker, series, value): the variation for tickers of the mapped sector, nought for others.
 
-    ``mapping`` is (series, sector); a series counts only if some ticker has its sector.
+    ``mapping`` is (series, sector), a setting; a series counts only if some ticker has its sector. The result
+    has a row for every date, ticker and mapped series by definition.
     """
     present = mapping.join(tickers.select("sector").distinct(), "sector", "left_semi")
-    rows = changes.join(F.broadcast(present.withColumnRenamed("sector", "_sector")), "series").crossJoin(F.broadcast(tickers.select("ticker", "sector")))
+    rows = changes.join(F.broadcast(present.withColumnRenamed("sector", "_sector")), "series").crossJoin(tickers.select("ticker", "sector"))
     value = F.when(F.col("sector") == F.col("_sector"), F.coalesce("variation", F.lit(0.0))).otherwise(0.0)
     return rows.select("date", "ticker", "series", value.alias("value"))
 

@@ -27,7 +27,7 @@ def sweep_cells(panel: DataFrame, reference: DataFrame, settings: SweepSettings
     rows = with_log_return(panel).select("date", "ticker", *[registry[p]().alias(p) for p in used], *[forward_return(h).alias(f"h{h}") for h in settings.horizons])
     long = rows.unpivot(["date", "ticker", *[f"h{h}" for h in settings.horizons]], used, "predictor", "value").filter("value is not null")
     pairs = long.select("date", "ticker", "predictor", "value", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("forward")) for h in settings.horizons])).alias("_p"))
-    pairs = pairs.select("date", "ticker", "predictor", "value", "_p.horizon", "_p.forward").filter("forward is not null").join(F.broadcast(segments(reference, settings.least_members)), "ticker")
+    pairs = pairs.select("date", "ticker", "predictor", "value", "_p.horizon", "_p.forward").filter("forward is not null").join(segments(reference, settings.least_members), "ticker")
     cell = ["segment", "predictor", "horizon"]
     ics = information_coefficients(pairs, "value", "forward", [*cell, "date"], settings.least_members)
     return mean_coefficient(ics, F.col("horizon"), cell, least_periods=3)
