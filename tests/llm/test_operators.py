@@ -318,6 +318,19 @@ def test_personal_data(spark):
     assert [PII_TEXTS[9][int(s.split(":")[1]) : int(s.split(":")[2])] for s in more] == ["22 50-10-20-30-40"]
 
 
+def test_label_reaches_every_repeat():
+    total = np.zeros(pii.SHAPES * pii.LABELS + pii.LABELS**2 + 2)
+    loose = {"+49 30 12345678": "0049-30-12345678", "4111 1111 1111 1111": "4111.1111.1111.1111"}
+    for strict, other in loose.items():
+        for weight in (6.0, 7.0, 8.0):
+            field = pii.SkipChainField(total)
+            field.node[:, 0], field.node[:, 1:] = 0.0, -3.9
+            field.skip = weight * np.eye(pii.LABELS)
+            field.skip[0, 0] = 0.0
+            for text in (f"{strict} or " + f"{other} or " * 40, f"{other} or " * 40 + strict, f"{other} or " * 20 + f"{strict} or " + f"{other} or " * 20):
+                assert [s[3] for s in field.spans(text)].count(False) == 40, (strict, weight)
+
+
 def test_redaction(spark):
     docs = table(spark, [(1, PII_TEXTS[4], None, None), (2, None, None, None), (3, "fine", None, None)])
     got = {r.doc_id: r.text for r in pii.redact(docs, pii.fit(docs)).collect()}

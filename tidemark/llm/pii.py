@@ -4,15 +4,16 @@ Four strict patterns give the base spans. Between them lie loose mentions: digit
 notations, numbers without their plus sign, addresses spelled with "at" and "dot". All mentions of a
 document are nodes with the labels none, email, ip, card and phone. Node potentials depend on the
 shape of a mention, chain edges join neighbours, and skip edges join a mention with the next one of the same or
-similar content (equal digits, equal last nine digits, equal address), however far away. Base spans are
-fixed evidence; damped loopy message passing over the other nodes carries their labels to mentions of
-the same thing, which become spans when their belief reaches ``least_belief``.
+similar content (equal digits, equal last nine digits, equal address), however far away, and with the
+nearest base span of such content. Base spans are fixed evidence; damped loopy message passing over the
+other nodes, until the messages rest, carries their labels to mentions of the same thing, which become
+spans when their belief reaches ``least_belief``.
 
 The potentials come from counts over the whole corpus: labels by shape, label pairs of neighbours
 and agreement of mentions with equal content. Their number is fixed.
 
 Cases: null and empty texts have no spans; spans of the method never overlap base spans; equal
-mentions are linked in a row, so many repetitions stay linear; repeated rows each get their row; no rows
+mentions are linked in a row and each with one base span, so many repetitions stay linear; repeated rows each get their row; no rows
 give an empty result; other columns are ignored. Positions are code points, end exclusive.
 """
 
@@ -111,16 +112,23 @@ def shape(text: str, content: str) -> int:
 
 
 def skip_edges(nodes: list[tuple]) -> list[tuple[int, int]]:
-    """Each mention with the next of equal content, and of equal last nine digits."""
-    edges, last = set(), {}
+    """Each mention with the next of equal content, and of equal last nine digits; loose ones also with the nearest strict one."""
+    edges, members = set(), {}
     for i, (_, _, _, content, _) in enumerate(nodes):
         keys = {content}
         if "@" not in content and len(content) >= 9:
             keys.add("~" + content[-9:])
         for key in keys:
-            if key in last:
-                edges.add((last[key], i))
-            last[key] = i
+            members.setdefault(key, []).append(i)
+    for own in members.values():
+        edges.update(zip(own, own[1:], strict=False))
+        strict = [i for i in own if nodes[i][2] > 0]
+        at = 0
+        for i in own if strict else ():
+            if nodes[i][2] < 0:
+                while at + 1 < len(strict) and abs(strict[at + 1] - i) < abs(strict[at] - i):
+                    at += 1
+                edges.add((min(i, strict[at]), max(i, strict[at])))
     return sorted(edges)
 
 
@@ -145,10 +153,10 @@ def counts(texts: list[str]) -> np.ndarray:
 class SkipChainField:
     """Potentials from corpus counts, and inference in one document."""
 
-    def __init__(self, total: np.ndarray, least_belief: float = 0.8, rounds: int = 20):
+    def __init__(self, total: np.ndarray, least_belief: float = 0.8, rounds: int = 200, tolerance: float = 1e-6):
         by_shape = total[: SHAPES * LABELS].reshape(SHAPES, LABELS)
         pairs = total[SHAPES * LABELS : -2].reshape(LABELS, LABELS)
-        self.least_belief, self.rounds = least_belief, rounds
+        self.least_belief, self.rounds, self.tolerance = least_belief, rounds, tolerance
         # a loose mention failed the strict pattern of its shape: none outweighs any kind there
         share = (by_shape + 1) / (by_shape.sum(axis=1, keepdims=True) + LABELS)
         self.node = np.log(np.maximum(share, 0.02))
@@ -171,12 +179,15 @@ class SkipChainField:
         factor = np.array([e[2] for e in edges] + [e[2].T for e in edges])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(source), LABELS))
-        for _ in range(self.rounds):
+        for _ in range(max(self.rounds, 4 * len(nodes))):  # damped by half, a message needs some rounds a hop
             belief = unary.copy()
             np.add.at(belief, target, message)
             out = belief[source] - message[back]
             new = np.logaddexp.reduce(out[:, :, None] + factor, axis=1)
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            change = 0.5 * (new - new.max(axis=1, keepdims=True) - message)
+            message += change
+            if np.abs(change).max() < self.tolerance:
+                break
         belief = unary.copy()
         np.add.at(belief, target, message)
         chance = np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None])
