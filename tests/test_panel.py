@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -134,6 +135,16 @@ def test_benjamini_hochberg_keeps_up_to_the_largest_passing_rank(spark):
     assert sorted(r.p for r in stats.benjamini_hochberg(df, 0.10).filter("discovered").collect()) == [0.01, 0.03, 0.04]
 
 
+def test_benjamini_hochberg_ranks_in_many_tasks(spark):
+    draw = random.Random(3)
+    ps = [round(draw.random() ** 3, 3) for _ in range(3000)]
+    got = stats.benjamini_hochberg(spark.createDataFrame([(p,) for p in [*ps, None, math.nan]], "p double"), 0.3)
+    bound = max(p for r, p in enumerate(sorted(ps), 1) if p <= 0.3 * r / len(ps))
+    assert 0 < bound < max(ps) and sorted(r.p for r in got.filter("discovered").collect()) == sorted(p for p in ps if p <= bound)
+    windows = [x for x in got._jdf.queryExecution().analyzed().toString().split("\n") if re.search(r"\bWindow \[", x)]
+    assert windows and all("windowspecdefinition(_range" in x for x in windows)
+
+
 def test_folds_never_let_a_training_label_reach_the_test(spark):
     df = spark.createDataFrame([(START + datetime.timedelta(days=i),) for i in range(50)], "date date")
     rows = learn.folds(df, 4, 8).collect()

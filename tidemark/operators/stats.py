@@ -74,10 +74,20 @@ def with_p_value(df: DataFrame, t: str = "t", freedom: Column | None = None) ->
 
 
 def benjamini_hochberg(df: DataFrame, rate: float = 0.10, p: str = "p") -> DataFrame:
-    """Adds ``discovered``: p up to the largest rank r with p <= rate * r / tests. Null p never counts."""
-    tests = df.filter(F.col(p).isNotNull() & ~F.isnan(p))
-    ranked = tests.withColumn("_r", F.row_number().over(Window.orderBy(p))).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    bound = ranked.filter(F.col(p) <= rate * F.col("_r") / F.col("_m")).agg(F.max(p).alias("_bound"))
+    """Adds ``discovered``: p up to the largest rank r with p <= rate * r / tests. Null p never counts.
+
+    Equal p are counted first; ranks are counts cumulated within ranges of p, after the counts of all lower ranges.
+    """
+    counted = df.filter(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    cuts = counted.agg(F.percentile_approx("_p", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(max(10_000, 10 * ranges))).alias("_cuts"))
+    dealt = counted.crossJoin(F.broadcast(cuts)).select("_p", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_p"))).alias("_range"))
+    sizes = dealt.groupBy("_range").agg(F.sum("_n").alias("n")).agg(F.collect_list(F.struct("_range", "n")).alias("_sizes"))  # a number for each range
+    summed = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    own = F.sum("_n").over(Window.partitionBy("_range").orderBy("_p"))
+    lower = summed(F.filter("_sizes", lambda s: s["_range"] < F.col("_range")))
+    ranked = dealt.crossJoin(F.broadcast(sizes)).select("_p", (own + lower).alias("_r"), summed(F.col("_sizes")).alias("_m"))
+    bound = ranked.filter(F.col("_p") <= rate * F.col("_r") / F.col("_m")).agg(F.max("_p").alias("_bound"))
     return df.crossJoin(F.broadcast(bound)).withColumn("discovered", F.coalesce((F.col(p) <= F.col("_bound")) & ~F.isnan(p), F.lit(False))).drop("_bound")
 
 
