@@ -358,6 +358,15 @@ def test_copies_of_one_article_keep_their_text(spark):
     assert {r.text for r in got} == {"Same\nSame text on every page."}
 
 
+def test_near_copies_of_one_article_keep_their_text(spark):
+    shared = [f"Paragraph {k} of the one story that every page tells." for k in range(5)]
+    bodies = {i: ["Summary" if i % 2 else "Details", *shared, f"Own end {i}."] for i in range(20)}
+    rows = [(i, "http://h.example/", f"<article><h2>{b[0]}</h2>" + "".join(f"<p>{x}</p>" for x in b[1:]) + "</article>") for i, b in bodies.items()]
+    rows += [(100 + i, "http://plain.example/", f"<div class='x'>All rights of this site.</div><p>Text {i} alone.</p>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(b) for i, b in bodies.items()} | {100 + i: f"Text {i} alone." for i in range(20)}
+
+
 # -- shared pieces ------------------------------------------------------------------------------------------------------
 def test_words_equal_plain_split():
     texts = ["", "A bb  c\n", "éÀ b", " x", "y"]
