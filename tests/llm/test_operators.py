@@ -287,6 +287,19 @@ def test_robust_outliers(spark, broadcast_groups):
     assert sum(not got[i] for i in range(200)) <= 2 and not any(got[500 + i] for i in range(8))
 
 
+def test_a_third_of_repeated_words_is_an_outlier(spark):
+    draw = random.Random(7)
+    docs = [(i, words(draw, draw.randint(60, 200), "abcdefghijklmnop"), "aa", f"s{i % 2}") for i in range(200)]
+    for i, share in enumerate((0.34, 0.4, 0.45, 0.49)):
+        line = words(draw, int(60 * share), "abcdefghijklmnop")
+        docs.append((500 + i, f"{line}\n{words(draw, 120 - 2 * int(60 * share), 'abcdefghijklmnop')}\n{line}", "aa", "s0"))
+    line = words(draw, 8, "abcdefghijklmnop")
+    docs.append((600, f"{line}\n{words(draw, 84, 'abcdefghijklmnop')}\n{line}", "aa", "s0"))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, docs), min_rows=20).collect()}
+    assert not any(got[500 + i].base_failed or got[500 + i].kept for i in range(4))
+    assert got[600].kept and sum(not got[i].kept for i in range(200)) <= 2
+
+
 # -- personal data ------------------------------------------------------------------------------------------------------
 PII_TEXTS = [
     "mail a.b+c@ex-1.example.com, x@y, @z.com and q@w.e.r", "1.2.3.4.5.6 999.1.1.1 10.0.0.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (988) 555-2485 +12 +(3) 4",
