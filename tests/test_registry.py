@@ -32,3 +32,13 @@ def test_entry_and_sql_agree(spark):
         assert sorted(mine.columns) == columns
         rows = lambda df, c=columns: sorted(str([None if v != v else v for v in r]) for r in df[c].astype(object).values.tolist())
         assert rows(mine) == rows(other), name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_yearly_history_is_written_in_several_pages(spark, monkeypatch):
+    from tidemark.sources import pages
+
+    seen, read = [], pages.html_tables
+    monkeypatch.setattr(pages, "html_tables", lambda page: seen.append(page) or read(page))
+    assert registry.queries()["yearly_history_from_pages"](spark, DATA).count() == 100
+    assert seen[0].count() > 1

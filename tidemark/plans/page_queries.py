@@ -10,6 +10,8 @@ from tidemark.plans.fixtures import cte, load
 from tidemark.plans.queries import query, quotes_of
 from tidemark.sources import pages
 
+#: Tickers of one page of the yearly history, on average.
+TICKERS_A_PAGE = 8
 CODE_SQL = "concat('BR', translate(substr(ticker, 7), '0123456789', 'ABCDEFGHIJ'))"
 
 
@@ -87,7 +89,8 @@ def yearly_history_from_pages(spark, d):
     years = [1995, 1996, 1997, 1998]
     wide = load(spark, d, "dividends").groupBy("ticker").pivot("fiscal_year", years).agg(F.max("amount"))
     cells = [F.col("ticker"), *[F.coalesce(french(F.col(str(y))), F.lit("-")) for y in years]]
-    page = table_page(wide.withColumn("page", F.lit(1).cast("long")), "page", ["Société", *[f"Div. {y}" for y in years]], cells, F.col("ticker"))
+    blocks = max(wide.count() // TICKERS_A_PAGE, 1)
+    page = table_page(wide.withColumn("page", F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("long")), "page", ["Société", *[f"Div. {y}" for y in years]], cells, F.col("ticker"))
     return pages.yearly_history(pages.html_tables(page))
 
 
