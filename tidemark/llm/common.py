@@ -163,16 +163,16 @@ def chain(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def sum_chunks(df: DataFrame, dtype=np.float64, fan_in: int = 32) -> DataFrame:
+def sum_chunks(df: DataFrame, dtype=np.float64, fan_in: int = 32, add=np.add) -> DataFrame:
     """Sum the vectors (bytes of ``dtype`` in the column ``vector``) of each ``chunk``, level by level.
 
     Each task adds up at most ``fan_in`` vectors at a time; the result has one row for each chunk.
     """
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["vector"].iloc[0], dtype).copy()
+    def add_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["vector"].iloc[0], dtype)
         for v in pdf["vector"].iloc[1:]:
-            total += np.frombuffer(v, dtype)
+            total = add(total, np.frombuffer(v, dtype))
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // fan_in], "chunk": [int(pdf["chunk"].iloc[0])], "vector": [total.tobytes()]})
 
     level = df.select(F.spark_partition_id().cast("long").alias("part"), F.col("chunk").cast("long").alias("chunk"), "vector")
@@ -181,7 +181,7 @@ def sum_chunks(df: DataFrame, dtype=np.float64, fan_in: int = 32) -> DataFrame:
         parts = level.agg(F.max("part")).first()[0]
         if not parts:
             return level.select("chunk", "vector")
-        level = level.groupBy("chunk", F.floor(F.col("part") / fan_in)).applyInPandas(add, "part long, chunk long, vector binary")
+        level = level.groupBy("chunk", F.floor(F.col("part") / fan_in)).applyInPandas(add_all, "part long, chunk long, vector binary")
 
 
 def sum_vectors(df: DataFrame) -> np.ndarray | None:
