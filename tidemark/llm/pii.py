@@ -208,7 +208,7 @@ class SkipChainField:
         self.least_belief, self.rounds, self.tolerance = least_belief, rounds, tolerance
 
     @classmethod
-    def trained(cls, counted: dict[int, int], agreement: float = 3.0, strength: float = 1.0, steps: int = 3000) -> SkipChainField:
+    def trained(cls, counted: dict[int, int], agreement: float = 4.0, strength: float = 1.0, steps: int = 3000) -> SkipChainField:
         """Most likely potentials for the counted cases, under a normal prior of precision ``strength``.
 
         Each step divides the slope by a bound of the curvature, so the likelihood never falls.
