@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences: five corpus operators one after another.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last
-return the columns of ``documents``. Rows without an id pass the near-duplicate stage, as they can be
-linked with nothing; rows that repeat an id are one document there.
+return the columns of ``documents``. Decisions belong to rows: rows that share an id or have none are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -27,16 +27,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps one row of each group of near duplicates: that with the smallest id, the first of equal ids.
+
+    Verdicts belong to rows, not to ids: rows that share an id, or have none, are texts of their own.
+    """
     bounded_batches(spark)
-    found = materialise(near_dedup.near_duplicates(docs).select("doc_id", "kept").filter("doc_id is not null"), "verdicts")
-    n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    dropped = found.filter(~F.col("kept")).select("doc_id")
-    if n > ids:  # several rows of one id: one stays
-        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    row = next(name for name in ("_row", "_row_of_docs", "_row_of_all_docs") if name not in docs.columns)
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_dedup.near_duplicates(numbered.select(row, "text"), id_col=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
+    found = materialise(found, "groups")
+    many = found.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1").select("_group")
+    members = materialise(found.join(many, "_group").join(numbered.select(row, "doc_id"), row), "members")
+    first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("_first"))
+    dropped = members.join(first, "_group").filter(F.col(row) != F.col(f"_first.{row}")).select(row)
+    dropped = materialise(dropped, "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return numbered.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,26 @@ def test_packing_is_an_exact_cut(spark, rows):
     assert padding <= 4 * len(sequences)
 
 
+def test_ids_of_any_letters_equal_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tokenizer, tokens, draw = Tokenizer.from_file(tokenizer_path()), packing.WordTokens(tokenizer_path(), 1), random.Random(8)
+    pools = ["\u0130\u0131Iiß", "".join(map(chr, range(0x41, 0x250))), "".join(map(chr, range(0x370, 0x600))), "".join(map(chr, range(0x1E00, 0x2100))), "日本語한글कखगाि\u0301\u0307\U0001f600", "abcXYZ019"]
+    texts = ["\u0130.", "x\u0130,", "\u0130", "e\u0301.", "\u00e9."]
+    for _ in range(4000):
+        letters = draw.choice(pools)
+        texts.append(" ".join("".join(draw.choice(letters) for _ in range(draw.randint(1, 5))) + draw.choice(["", ".", ",", "!", ".,"]) for _ in range(draw.randint(1, 4))))
+    got = [np.frombuffer(t, "<u4").tolist() for t in tokens([t.encode() for t in texts])]
+    want = [e.ids + [1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_packing_takes_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None), (None, "three")], "doc_id string, text string")
+    got = packing.pack(docs, tokenizer_path(), size=4).collect()
+    assert {r.doc_id for r in got} == {"a", "b", None} and sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+
+
 # -- near duplicates ----------------------------------------------------------------------------------------------------
 def plain_components(rows):
     sets = {}
@@ -152,10 +172,10 @@ def test_sketch_estimates_jaccard():
 
 
 # -- decontamination ----------------------------------------------------------------------------------------------------
-ITEMS = [(1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa LAMBDA mu"), (2, "short-item here"), (10, "short item HERE!"), (3, ""), (4, None), (5, "...")]
+ITEMS = [(1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa LAMBDA mu"), (2, "short-item here"), (10, "short item HERE!"), (3, ""), (4, None), (5, "..."), (None, "no name of its own at all"), (None, "item here")]
 TAINTED = [
     (200, "x alpha beta gamma delta epsilon zeta eta theta iota kappa y", None, None), (201, "beta gamma; delta epsilon zeta eta theta iota kappa lambda mu nu", None, None),
-    (202, "alpha beta gamma", None, None), (203, "short item here short item here", None, None), (204, "short", None, None), (205, "item here", None, None),
+    (202, "alpha beta gamma", None, None), (203, "short item here short item here", None, None), (204, "short", None, None), (205, "item here", None, None), (206, "with no name of its own at all", None, None),
 ]
 
 
@@ -171,8 +191,8 @@ def plain_hits(docs, items):
             for a in range(len(w) - k + 1 if k else 0):
                 if tuple(w[a : a + k]) in windows:
                     hit |= set(range(a, a + k))
-                    names.add(str(name))
-        out[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))
+                    names.add(name if name is None else str(name))
+        out[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), bool(hit))
     return out
 
 
@@ -187,6 +207,14 @@ def test_decontamination_equals_plain_search(spark, rows, block_bytes):
     assert {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w[4]}
 
 
+def test_pattern_sets_are_flat_and_small():
+    draw = random.Random(3)
+    items = [(i, words(draw, 200)) for i in range(400)]
+    sets, ids = decontaminate.pattern_sets(items, 10)
+    size = sum(len(v) if isinstance(v, bytes) else v.nbytes for p in sets for v in vars(p).values() if isinstance(v, np.ndarray | bytes))
+    assert ids == list(range(400)) and size < decontaminate.BYTES_A_BYTE * sum(len(t) for _, t in items) + 2 * (2 << decontaminate.SHIFT_BITS)
+
+
 # -- language -----------------------------------------------------------------------------------------------------------
 def test_languages_are_told_apart(spark):
     draw = random.Random(4)

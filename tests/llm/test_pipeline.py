@@ -33,8 +33,10 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in one.collect()} == predicted and {i for i, _ in good} <= predicted and not {i for i, _ in junk} & predicted
     two = corpus_pipeline.drop_near_duplicates(spark, docs, d)
     assert {r.doc_id for r in two.collect()} == {r[0] for r in rows} - {i for i, _ in copies}
-    again = corpus_pipeline.drop_near_duplicates(spark, docs.union(docs.limit(3)).union(spark.createDataFrame([(None, "x", None, None, 1)], KIND)), d)
-    assert again.count() == two.count() + 1
+    more = [(None, "x", None, None, 1), (None, good[0][1], None, None, 1), (1, other := words(draw, 30), None, None, 1)]
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.union(docs.limit(3)).union(spark.createDataFrame(more, KIND)), d)
+    kept = again.collect()  # rows of one id with different texts both stay, copies without id go
+    assert len(kept) == two.count() + 2 and {r.text for r in kept if r.doc_id == 1} == {good[1][1], other} and [r.text for r in kept if r.doc_id is None] == ["x"]
     three = corpus_pipeline.drop_contaminated(spark, docs, d)
     assert {r.doc_id for r in three.collect()} == {r[0] for r in rows} - {i for i, _ in leaked}
     four = {r.doc_id: r for r in corpus_pipeline.redact_personal_data(spark, docs, d).collect()}
@@ -43,4 +45,7 @@ def test_stages(spark, tmp_path):
         assert stage.columns == docs.columns
     packed = {r.doc_id for r in corpus_pipeline.run(spark, d).collect()}
     assert packed == {i for i, _ in good} | {500}
+    empty = spark.createDataFrame([], KIND)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, d).count() == 0
     assert pii.KINDS == ("email", "ip", "card", "phone")

@@ -23,18 +23,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialise, steps, utf8_parts
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_STATE = PIECE + ", part long, ids binary"
+_STATE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
+_COLUMNS = ["doc_id", *[c.split()[0] for c in _STATE.split(", ")]]
 
 
 class WordTokens:
     """Ids, as little-endian unsigned 32-bit, of a text whose tokenizer never joins across ASCII space.
 
     The tokenizer ignores case and takes letters and punctuation apart, so words are remembered in
-    lower case, and a word with one closing mark as the word and the mark. ``remember`` bounds the words kept:
+    lower case, and a word of letters without marks of their own with one closing mark as the word and the mark. ``remember`` bounds the words kept:
     beyond it, those that came last, the rarer ones, are forgotten. A worker keeps them from task to task.
     """
 
@@ -72,7 +73,8 @@ class WordTokens:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]
         new = [w for w in set().union(*split) if w not in self.ids]
-        marked = [w for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()]
+        # the tokenizer lowers first: a lowered letter may end in a combining mark, which would join the closing one
+        marked = [w for w in new if w[-1:] in (b".", b",") and (w[:-1].isalpha() or w[:-1].decode().lower().isalpha() and unicodedata.normalize("NFD", w[:-1].decode().lower()) == w[:-1].decode().lower())]
         wanted = set(new) - set(marked) | {w[:-1] for w in marked} | ({b".", b","} if marked else set())
         self.encode([w for w in wanted if w not in self.ids])
         self.ids.update([(w, self.ids[w[:-1]] + self.ids[w[-1:]]) for w in marked])
@@ -146,8 +148,8 @@ class Packer:
         self.closed = []
         if with_open:
             out += [(doc_id, start, len(ids) // 4, None, total, None, None, part, ids) for w in self.open for doc_id, start, total, ids in w[1]]
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _STATE.split(", ")], dtype=object)
-        for c in frame.columns[:-1]:
+        frame = pd.DataFrame(out, columns=_COLUMNS, dtype=object)
+        for c in _COLUMNS[1:-1]:
             frame[c] = frame[c].astype("Int64")
         return frame
 
@@ -157,7 +159,7 @@ def _merge(level: int, last: bool, size: int, windows: int, slack: int):
         part = int(pdf["part"].iloc[0])
         packer = Packer(level << 56 | part << 28, size, windows, slack)
         for row in pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True]).itertuples():
-            packer.add(None if pd.isna(row.doc_id) else int(row.doc_id), int(row.start), int(row.doc_tokens), row.ids)
+            packer.add(None if pd.isna(row.doc_id) else row.doc_id, int(row.start), int(row.doc_tokens), row.ids)
         if last:
             packer.pour()
         return packer.rows(part, not last)
@@ -168,13 +170,17 @@ def _merge(level: int, last: bool, size: int, windows: int, slack: int):
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, windows: int = 24, slack: int = 16, fan_in: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    state = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_STATE}"
+    id_type = to_arrow_type(texts.schema["doc_id"].dataType)
+
     def first(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         tokens, packer = WordTokens(tokenizer_path, end_id), Packer(part << 28, size, windows, slack)
-        schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in _STATE.split(", ")])
+        schema = pa.schema([("doc_id", id_type)] + [(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in _STATE.split(", ")])
         for batch in batches:
             data, offsets = utf8_parts(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
@@ -184,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
             yield pa.RecordBatch.from_pandas(packer.rows(part, False), schema=schema, preserve_index=False)
         yield pa.RecordBatch.from_pandas(packer.rows(part, True), schema=schema, preserve_index=False)
 
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first, _STATE), "packed")
+    rows = materialise(texts.mapInArrow(first, state), "packed")
     done = rows.filter(F.col("part").isNull()).drop("part", "ids")
     left, level = rows.filter(F.col("part").isNotNull()), 0
     while True:
@@ -193,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
         last = parts <= fan_in
 
         left = left.withColumn("part", (F.lit(0) if last else F.floor(F.col("part") / fan_in)).cast("long"))
-        merged = left.groupBy("part").applyInPandas(_merge(level, last, size, windows, slack), _STATE)
+        merged = left.groupBy("part").applyInPandas(_merge(level, last, size, windows, slack), state)
         if last:
             return done.unionByName(merged.drop("part", "ids"))
         rows = materialise(merged, "packed")

@@ -195,7 +195,7 @@ def fit(stats: DataFrame, labels: DataFrame, count: int = 256, width: float = 5.
 
     @F.pandas_udf("double")
     def value(s: pd.Series) -> pd.Series:
-        return pd.Series(features(np.stack(s.to_numpy())) @ weights)
+        return pd.Series(features(np.stack(s.to_numpy())) @ weights) if len(s) else pd.Series([], dtype=float)
 
     held = train.filter("fold = 1")
     if held.isEmpty():

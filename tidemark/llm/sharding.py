@@ -44,9 +44,11 @@ def feistel(numbers: np.ndarray, n: int, seed: int = 0, rounds: int = 6) -> np.n
 def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """Adds ``row_number`` 0..N-1 in the given order, without a global window, and returns N.
 
-    One range shuffle sorts the rows; only the count of each partition is summed up.
+    One range shuffle sorts the rows; only the count of each partition is summed up. Rows equal in all of
+    ``order`` are dealt out by the place they were read from, so that no run of them fills one task.
     """
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    sorted_rows = placed.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     tagged = materialise(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     counts = sorted(tagged.groupBy(part.alias("part")).count().collect())  # a row for each partition
