@@ -165,25 +165,34 @@ def chain(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def sum_chunks(df: DataFrame, dtype=np.float64, fan_in: int = 32, add=np.add) -> DataFrame:
-    """Sum the vectors (bytes of ``dtype`` in the column ``vector``) of each ``chunk``, level by level.
+def sum_chunks(df: DataFrame, dtype=np.float64, fan_in: int = 32) -> DataFrame:
+    """Sum the vectors (bytes of ``dtype`` in the column ``vector``) of each ``chunk``, level by level."""
 
-    Each task adds up at most ``fan_in`` vectors at a time; the result has one row for each chunk.
+    def add(_, vectors: list[bytes]) -> bytes:
+        total = np.frombuffer(vectors[0], dtype).copy()
+        for v in vectors[1:]:
+            total += np.frombuffer(v, dtype)
+        return total.tobytes()
+
+    level = materialise(df.select(F.spark_partition_id().cast("long").alias("part"), F.col("chunk").cast("long").alias("chunk"), "vector"), "vectors")
+    parts = level.agg(F.max("part")).first()[0]
+    return merge_chunks(level, add, (parts or 0) + 1, fan_in)
+
+
+def merge_chunks(df: DataFrame, merge, parts: int, fan_in: int = 32) -> DataFrame:
+    """One (chunk, vector) for each ``chunk`` of (part, chunk, vector): ``merge(chunk, vectors)``, at most ``fan_in`` at a time.
+
+    ``parts`` is one more than the largest part.
     """
 
-    def add_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["vector"].iloc[0], dtype)
-        for v in pdf["vector"].iloc[1:]:
-            total = add(total, np.frombuffer(v, dtype))
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // fan_in], "chunk": [int(pdf["chunk"].iloc[0])], "vector": [total.tobytes()]})
-
-    level = df.select(F.spark_partition_id().cast("long").alias("part"), F.col("chunk").cast("long").alias("chunk"), "vector")
-    while True:
-        level = materialise(level, "vectors")
-        parts = level.agg(F.max("part")).first()[0]
-        if not parts:
-            return level.select("chunk", "vector")
-        level = level.groupBy("chunk", F.floor(F.col("part") / fan_in)).applyInPandas(add_all, "part long, chunk long, vector binary")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(pdf["chunk"].iloc[0])
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // fan_in], "chunk": [chunk], "vector": [merge(chunk, pdf["vector"].tolist())]})
+
+    while parts > 1:
+        df = materialise(df.groupBy("chunk", F.floor(F.col("part") / fan_in)).applyInPandas(run, "part long, chunk long, vector binary"), "vectors")
+        parts = -(-parts // fan_in)
+    return df.select("chunk", "vector")
 
 
 def sum_vectors(df: DataFrame) -> np.ndarray | None:
