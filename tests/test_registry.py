@@ -40,5 +40,5 @@ def test_yearly_history_is_written_in_several_pages(spark, monkeypatch):
 
     seen, read = [], pages.html_tables
     monkeypatch.setattr(pages, "html_tables", lambda page: seen.append(page) or read(page))
-    assert registry.queries()["yearly_history_from_pages"](spark, DATA).count() == 100
+    assert registry.queries()["yearly_history_from_pages"](spark, DATA).count() == 175  # every fiscal year
     assert seen[0].count() > 1

@@ -73,7 +73,7 @@ def test_payloads_tranches_symbols_and_links(spark):
     assert [(r["to"] - r["from"]).days for r in parts] == [88, 31]
     with pytest.raises(Exception, match="reversed"):
         pages.tranches(spark.createDataFrame([(datetime.date(2024, 2, 1), datetime.date(2024, 1, 1))], "start date, end date")).collect()
-    known = pages.symbols(spark.createDataFrame([("SNTS.sn BRVM10.ci ABC",)], "menu string"), "ci")
+    known = pages.symbols(spark.createDataFrame([("SNTS.sn INDEX10.ci ABC",)], "menu string"), "ci", "index")
     assert [r.symbol for r in pages.with_symbol(spark.createDataFrame([("SNTS",), ("ABJC",)], "ticker string"), known, "ci").orderBy("ticker").collect()] == ["ABJC.ci", "SNTS.sn"]
     html = "<table><tr><td>a</td><td>b</td><td>c</td><td><a href='x.pdf'>d</a></td></tr><tr><td>a</td></tr></table>"
     assert [(r.text, r.hrefs) for r in pages.linked_rows(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()] == [("a b c d", ["x.pdf"])]
@@ -98,3 +98,16 @@ def test_stream_merges_by_key(spark, tmp_path):
     archive.conform(spark.createDataFrame([(day, "AA", 3.0), (day, "BB", 2.0)], "date date, ticker string, close double"), "quotes").write.mode("append").parquet(land)
     ingest.merge_batches(ingest.quote_stream(spark, land), root, str(tmp_path / "state")).awaitTermination()
     assert sorted((r.ticker, r.close) for r in archive.read(spark, "quotes", f"{root}/v-1").collect()) == [("AA", 3.0), ("BB", 2.0)]
+
+
+def test_country_suffixes_and_refused_payloads(spark):
+    from tidemark.functions import text as tx
+
+    rows = spark.createDataFrame([("BANK OF AFRICA NE",), ("Sonatel Sénégal",), ("Coris Burkina Faso",), ("Niger",)], "name string")
+    assert [r[0] for r in rows.select(tx.without_country(rows["name"])).collect()] == ["bank of africa", "sonatel", "coris", "niger"]
+    with pytest.raises(Exception, match="no date or close"):
+        pages.history_payload(spark.createDataFrame([("AA", '{"lst":[{"Date":"05/01/2024","Volume":"7"}]}')], "ticker string, payload string")).collect()
+    named = spark.createDataFrame([("AA", '{"lst":[{"seance":"2024-01-05","DERNIER":"1,5"}]}')], "ticker string, payload string")
+    assert [(str(r.date), r.close) for r in pages.history_payload(named).collect()] == [("2024-01-05", 1.5)]
+    with pytest.raises(ValueError, match="column"):
+        archive.upsert(archive.empty(spark, "quotes"), archive.empty(spark, "quotes"), "quotes")

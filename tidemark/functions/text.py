@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # countries with their two-letter suffixes.
 ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre")
-COUNTRIES = {"ci": "cote d ivoire", "sn": "senegal", "bf": "burkina faso", "ml": "mali", "tg": "togo", "bj": "benin", "ng": "niger"}
+COUNTRIES = {"ci": "cote d ivoire", "sn": "senegal", "bf": "burkina faso", "bj": "benin", "ml": "mali", "ne": "niger", "tg": "togo"}
 
 
 def plain(c: Column) -> Column:

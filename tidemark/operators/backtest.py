@@ -15,6 +15,7 @@ from tidemark.operators.features import rolling_features
 from tidemark.operators.panel import dense, session_numbers
 from tidemark.operators.quality import with_other_source
 from tidemark.operators.ranking import ranking
+from tidemark.operators.settle import settled
 from tidemark.operators.stats import annualised, max_drawdown
 from tidemark.settings import BacktestSettings, FeatureSettings, RankingSettings
 
@@ -38,19 +39,29 @@ def journal(
     quotes: DataFrame, reference: DataFrame, settings: BacktestSettings = BacktestSettings(), features: FeatureSettings = FeatureSettings(),
     ranks: RankingSettings = RankingSettings(), dividends: DataFrame | None = None, fundamentals: DataFrame | None = None,
 ) -> DataFrame:
-    """One row for each kept step."""
+    """One row for each kept step.
+
+    Entry and exit prices come from the ticker's own window over the panel, and a session belongs to the step
+    that its number gives, so neither needs a join by interval. ``quotes`` and ``dividends`` are read once.
+    """
+    quotes = settled(quotes, "quotes")
     panel = dense(quotes)
-    numbers = session_numbers(panel.select("date"))
+    numbers = session_numbers(quotes.filter("close is not null"))
+    last = numbers.agg(F.max("n").alias("last"))
     steps = schedule(numbers, features.needed, settings)
-    ranked = ranking(rolling_features(panel, features).join(F.broadcast(steps.select("date")), "date", "left_semi"), reference, ranks)
-    chosen = ranked.select("date", "ticker", (F.col("place") <= settings.positions).alias("chosen"), "place").join(F.broadcast(steps), "date")
-    price = lambda x: panel.select(F.col("date").alias(x), "ticker", F.col("close").alias(f"{x}_close"))
-    rows = chosen.join(price("entry"), ["entry", "ticker"], "left").join(price("exit"), ["exit", "ticker"], "left")
+    own = Window.partitionBy("ticker").orderBy("date")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at_exit = F.coalesce(F.when(F.row_number().over(own) + settings.delay + settings.step > F.count("*").over(whole), F.last("close").over(whole)), F.lead("close", settings.delay + settings.step).over(own))
+    priced = rolling_features(panel, features).withColumns({"entry_close": F.lead("close", settings.delay).over(own), "exit_close": at_exit})
+    ranked = ranking(priced.join(F.broadcast(steps.select("date")), "date", "left_semi"), reference, ranks)
+    rows = ranked.select("date", "ticker", (F.col("place") <= settings.positions).alias("chosen"), "place", "entry_close", "exit_close").join(F.broadcast(steps), "date")
     rows = rows.withColumn("gain", change(F.col("exit_close"), F.col("entry_close")))
     if dividends is not None:
-        paid = accrual(quotes, dividends, fundamentals).join(numbers, "date").select("ticker", F.col("n").alias("_n"), "accrued")
+        published = None if fundamentals is None else settled(fundamentals, "fundamentals")
+        credits = accrual(quotes, settled(dividends, "dividends"), published).join(F.broadcast(numbers), "date").crossJoin(F.broadcast(last))
         # sessions in [entry, exit) belong to exactly one step: holdings do not overlap
-        held = paid.join(F.broadcast(steps.select("step", "entry_n", "exit_n")), (F.col("_n") >= F.col("entry_n")) & (F.col("_n") < F.col("exit_n")))
+        place = F.col("n") - (features.needed - 1) - settings.delay
+        held = credits.filter((place >= 0) & (F.col("n") < F.col("last"))).select("ticker", (F.floor(place / settings.step) + 1).cast("int").alias("step"), "accrued")
         rows = rows.join(held.groupBy("step", "ticker").agg(F.sum("accrued").alias("paid")), ["step", "ticker"], "left").fillna(0.0, ["paid"])
     else:
         rows = rows.withColumn("paid", F.lit(0.0))
@@ -87,8 +98,14 @@ def summary(steps: DataFrame, sessions: int, needed: int) -> DataFrame:
     )
 
 
+def curves(steps: DataFrame) -> DataFrame:
+    """The value curves one below the other: (date, curve, value)."""
+    return steps.unpivot("date", ["value", "reference_value"], "curve", "value").filter("value is not null")
+
+
 def source_interval(quotes: DataFrame, reference: DataFrame, dividends: DataFrame, fundamentals: DataFrame, **settings) -> DataFrame:
     """Lowest and highest total return over the two dividend sources."""
+    quotes, dividends, fundamentals = settled(quotes, "quotes"), settled(dividends, "dividends"), settled(fundamentals, "fundamentals")
     last = lambda d: journal(quotes, reference, dividends=d, fundamentals=fundamentals, **settings).agg((F.max_by("value", "step") - 1).alias("total"))
     both = last(dividends).unionByName(last(with_other_source(dividends, fundamentals)))
     return both.agg(F.min("total").alias("low"), F.max("total").alias("high"))

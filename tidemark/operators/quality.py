@@ -78,6 +78,11 @@ def provisional(quotes: DataFrame, today: Column, hour: Column, closing_hour: in
     return quotes.withColumn("provisional", (F.col("date") == today) & (hour < closing_hour))
 
 
+def closed_sessions(quotes: DataFrame, today: Column, hour: Column, closing_hour: int) -> DataFrame:
+    """Rows of sessions that are over; those of a session that is still open are refused."""
+    return provisional(quotes, today, hour, closing_hour).filter(~F.coalesce("provisional", F.lit(False))).drop("provisional")
+
+
 def yearly_totals(dividends: DataFrame) -> DataFrame:
     return dividends.filter(F.col("fiscal_year").isNotNull()).groupBy("ticker", "fiscal_year").agg(F.sum("amount").alias("dated"))
 

@@ -55,8 +55,10 @@ def return_to_mean(quotes: DataFrame, least_rows: int = 500, slowest: float = 12
 def seasonal_yield(quotes: DataFrame, dividends: DataFrame, days: int = 365, least_sessions: int = 100, least_members: int = 8) -> DataFrame:
     """(season, members, ic): does a season's dividend yield rank the returns of the year after it?"""
     seasons = dated_yields(quotes, dividends).groupBy("ticker", F.year("session").alias("season")).agg(F.sum("yield").alias("yield"), F.max("session").alias("start"))
-    prices = quotes.filter("close is not null").select("ticker", "date", "close")
-    held = seasons.join(prices, "ticker").filter((F.col("date") >= F.col("start")) & (F.col("date") <= F.date_add("start", days)))
+    # a year from the start lies in the season's year and the next: two rows a season join by ticker and year
+    seasons = seasons.withColumn("_year", F.explode(F.array("season", F.col("season") + 1)))
+    prices = quotes.filter("close is not null").select("ticker", "date", "close", F.year("date").alias("_year"))
+    held = seasons.join(prices, ["ticker", "_year"]).filter((F.col("date") >= F.col("start")) & (F.col("date") <= F.date_add("start", days)))
     each = held.groupBy("ticker", "season", "yield").agg(F.count("*").alias("_n"), F.min_by("close", "date").alias("_first"), F.max_by("close", "date").alias("_last"))
     each = each.filter((F.col("_n") >= least_sessions) & (F.col("_first") > 0)).withColumn("forward", F.col("_last") / F.col("_first") - 1)
     return information_coefficients(each, "yield", "forward", ["season"], least_members).filter("ic is not null")

@@ -80,6 +80,11 @@ def latest_yields(fundamentals: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(last), "date").join(reference.select("ticker", "name"), "ticker").select("ticker", "name", F.col("value").alias("yield"))
 
 
+def yield_overview(yields: DataFrame) -> DataFrame:
+    """One row: companies with a yield of the last published year, and their median."""
+    return yields.agg(F.count("*").alias("companies"), F.percentile("yield", F.lit(0.5)).alias("median_yield"))
+
+
 def table_sizes(quotes: DataFrame, reference: DataFrame) -> DataFrame:
     """One row: sessions, tickers and companies known by sector."""
     return quotes.agg(F.countDistinct("date").alias("sessions"), F.countDistinct("ticker").alias("tickers")).crossJoin(reference.agg(F.count("*").alias("companies"), F.countDistinct("sector").alias("sectors")))

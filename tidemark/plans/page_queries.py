@@ -52,7 +52,7 @@ def companies_from_pages(spark, d):
 @query(f"WITH {cte('quotes')} SELECT {CODE_SQL} AS ticker, CAST(date AS VARCHAR) AS date, round(low, 2) AS low, round(high, 2) AS close, round(volume_shares, 2) AS volume FROM quotes", digits=2)
 def history_from_payloads(spark, d):
     entry = F.struct(F.date_format("date", "dd/MM/yyyy").alias("Date"), french(F.col("low")).alias("Low"), french(F.col("high")).alias("Close"), F.format_string("%.0f", "volume_shares").alias("Volume"))
-    payloads = quotes_of(spark, d).groupBy(F.expr(CODE_SQL).alias("ticker")).agg(F.to_json(F.struct(F.collect_list(entry).alias("lst"))).alias("payload"))
+    payloads = quotes_of(spark, d).groupBy(F.expr(CODE_SQL).alias("ticker"), F.year("date")).agg(F.to_json(F.struct(F.collect_list(entry).alias("lst"))).alias("payload"))
     return pages.history_payload(payloads).select("ticker", "date", "low", "close", "volume")
 
 
@@ -84,10 +84,11 @@ def dividends_from_pages(spark, d):
     return pages.dividend_calendar(pages.html_tables(page)).select("ex_date", "ticker", "name", "amount")
 
 
-@query(f"""WITH {cte("dividends")} SELECT ticker AS name, concat(CAST(fiscal_year AS VARCHAR), '-12-31') AS date, 'dividend' AS indicator, round(max(amount), 2) AS value FROM dividends WHERE fiscal_year BETWEEN 1995 AND 1998 GROUP BY ticker, fiscal_year""", digits=2)
+@query(f"""WITH {cte("dividends")} SELECT ticker AS name, concat(CAST(fiscal_year AS VARCHAR), '-12-31') AS date, 'dividend' AS indicator, round(max(amount), 2) AS value FROM dividends GROUP BY ticker, fiscal_year""", digits=2)
 def yearly_history_from_pages(spark, d):
-    years = [1995, 1996, 1997, 1998]
-    wide = load(spark, d, "dividends").groupBy("ticker").pivot("fiscal_year", years).agg(F.max("amount"))
+    known = load(spark, d, "dividends")
+    years = [r[0] for r in known.select("fiscal_year").distinct().orderBy("fiscal_year").collect()]  # one for each year
+    wide = known.groupBy("ticker").pivot("fiscal_year", years).agg(F.max("amount"))
     cells = [F.col("ticker"), *[F.coalesce(french(F.col(str(y))), F.lit("-")) for y in years]]
     blocks = max(wide.count() // TICKERS_A_PAGE, 1)
     page = table_page(wide.withColumn("page", F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("long")), "page", ["Société", *[f"Div. {y}" for y in years]], cells, F.col("ticker"))
@@ -100,11 +101,26 @@ def date_tranches(spark, d):
     return pages.tranches(quotes_of(spark, d).groupBy("ticker").agg(F.min("date").alias("start"), F.max("date").alias("end")))
 
 
-@query(f"WITH {cte('reference')} SELECT upper(concat(name, ' CI')) AS name, ticker, CAST(4 AS BIGINT) AS rule FROM reference UNION ALL SELECT name, ticker, 3 FROM reference UNION ALL SELECT ticker, ticker, 2 FROM reference WHERE upper(ticker) = ticker")
+COUNTRY_SQL = "(VALUES ('CI'), ('Sénégal'), ('bf'), ('BENIN'), ('ml'), ('NE'), ('Togo'), ('Niger'), ('Côte d''Ivoire')) c(suffix)"
+
+
+@query(f"""WITH {cte("reference")} SELECT concat(name, ' ', suffix) AS name, ticker, CAST(4 AS BIGINT) AS rule FROM reference, {COUNTRY_SQL}
+UNION ALL SELECT name, ticker, 3 FROM reference UNION ALL SELECT concat('Former ', ticker), ticker, 1 FROM reference
+UNION ALL SELECT concat(name, ' Holding'), ticker, 5 FROM reference WHERE NOT exists(SELECT 1 FROM reference o WHERE o.ticker <> reference.ticker AND starts_with(reference.name, o.name))""")
 def names_to_tickers(spark, d):
+    """Every country suffix, the plain name, an alias, and a longer name; names that begin with two companies' names are refused."""
+    known = load(spark, d, "reference")
+    suffixes = F.explode(F.array(*[F.lit(x) for x in ("CI", "Sénégal", "bf", "BENIN", "ml", "NE", "Togo", "Niger", "Côte d'Ivoire")]))
+    asked = known.select("name", suffixes.alias("s")).select(F.concat_ws(" ", "name", "s").alias("name")).union(known.select("name"))
+    asked = asked.union(known.select(F.concat(F.lit("Former "), "ticker"))).union(known.select(F.concat("name", F.lit(" Holding"))))
+    return names.reconcile(asked, known, known.select(F.concat(F.lit("FORMER "), "ticker").alias("alias"), "ticker"))[0]
+
+
+@query(f"WITH {cte('reference')} SELECT concat('Unknown ', ticker) AS name FROM reference UNION ALL SELECT concat(name, ' Holding') FROM reference WHERE exists(SELECT 1 FROM reference o WHERE o.ticker <> reference.ticker AND starts_with(reference.name, o.name))")
+def names_without_ticker(spark, d):
     known = load(spark, d, "reference")
-    asked = known.select(F.upper(F.concat("name", F.lit(" CI"))).alias("name")).union(known.select("name")).union(known.select("ticker").filter("upper(ticker) = ticker"))
-    return names.reconcile(asked, known, spark.createDataFrame([], "alias string, ticker string"))[0]
+    asked = known.select(F.concat(F.lit("Unknown "), "ticker").alias("name")).union(known.select("name")).union(known.select(F.concat("name", F.lit(" Holding"))))
+    return names.reconcile(asked, known, spark.createDataFrame([], "alias string, ticker string"))[1]
 
 
 @query("SELECT page_id, count(*) AS items FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href')) FROM pages) GROUP BY 1")

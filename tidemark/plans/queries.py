@@ -560,7 +560,14 @@ def backtest_summary(spark, d):
     return backtest.summary(journal_of(spark, d), sessions, FEATURES.needed)
 
 
-@query()
+OTHER_JOURNAL = JOURNAL.replace(cte("dividends"), f"""{cte("dividends").replace("dividends AS (", "o_dated AS (", 1)}, {cte("fundamentals").replace("fundamentals AS (", "o_fund AS (", 1)},
+o_year AS (SELECT ticker, fiscal_year, sum(amount) AS dated_sum FROM o_dated GROUP BY 1, 2), o_pub AS (SELECT ticker, year(date) AS fiscal_year, sum(value) AS published FROM o_fund WHERE indicator = 'dividend' AND value > 0 GROUP BY 1, 2),
+o_dis AS (SELECT y.ticker, y.fiscal_year, published FROM o_year y JOIN o_pub p ON p.ticker = y.ticker AND p.fiscal_year = y.fiscal_year WHERE abs(dated_sum / published - 1) > 0.10),
+o_rows AS (SELECT v.*, row_number() OVER (PARTITION BY ticker, fiscal_year ORDER BY ex_date, amount) AS rn FROM o_dated v),
+dividends AS (SELECT * FROM (SELECT r.ticker, r.ex_date, CASE WHEN o.published IS NULL THEN r.amount WHEN rn = 1 THEN o.published ELSE 0 END AS amount, r.fiscal_year FROM o_rows r LEFT JOIN o_dis o ON o.ticker = r.ticker AND o.fiscal_year = r.fiscal_year) WHERE amount > 0)""")
+
+
+@query(f"SELECT round(min(total), 6) AS low, round(max(total), 6) AS high FROM (SELECT (WITH {JOURNAL} SELECT arg_max(value, step) - 1 FROM journal) AS total UNION ALL SELECT (WITH {OTHER_JOURNAL} SELECT arg_max(value, step) - 1 FROM journal))")
 def backtest_source_interval(spark, d):
     return backtest.source_interval(quotes_of(spark, d), load(spark, d, "reference"), load(spark, d, "dividends"), load(spark, d, "fundamentals"), settings=BACKTEST, features=FEATURES, ranks=RANKS)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import no_nan
@@ -73,14 +73,16 @@ def last_of_key(df: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, table: str, order: str | None = None) -> DataFrame:
-    """New rows replace old ones of their key; of several new ones the last by ``order`` counts.
+    """New rows replace old ones of their key; of several new ones the last by the column ``order`` counts.
 
-    The log has no key: it is appended to.
+    The log has no key: it is appended to. Nothing is written, so this is also the overlay of a live session.
     """
     key = KEYS[table]
     if not key:
         return old.unionByName(conform(new, table))
-    rows = last_of_key(new.withColumn("_seq", F.col(order) if order else F.monotonically_increasing_id()), key, "_seq")
+    if order is None:
+        raise ValueError("name the column whose largest value wins within a key")
+    rows = last_of_key(new.withColumn("_seq", F.col(order)), key, "_seq")
     fresh, _ = split_valid(conform(rows, table), table)
     return old.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)
 
@@ -97,11 +99,22 @@ def write_version(df: DataFrame, root: str, partition: str | None = None) -> str
     return path
 
 
+def import_csv(old: DataFrame, table: str, path: str) -> DataFrame:
+    """The table after a CSV archive was merged into it by key; a key is in an archive once."""
+    return upsert(old, read_csv(old.sparkSession, table, path), table, KEYS[table][0] if KEYS[table] else None)
+
+
+def export_rows(df: DataFrame, path: str, *order: str) -> int:
+    """Any result as CSV with a header, sorted where ``order`` is given; returns the number of rows written."""
+    seen = Observation()
+    rows = df.orderBy(*order) if order else df  # counted behind the sort, which reads its input twice
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["rows"]
+
+
 def export_csv(df: DataFrame, table: str, path: str) -> int:
-    """Sorted by key, with a header; returns the number of rows written."""
-    key = KEYS.get(table, ())
-    conform(df, table).orderBy(*key).write.mode("overwrite").option("header", True).csv(path)
-    return df.sparkSession.read.schema(schema(table)).option("header", True).csv(path).count()
+    """A declared table sorted by its key; returns the number of rows written."""
+    return export_rows(conform(df, table), path, *KEYS.get(table, ()))
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

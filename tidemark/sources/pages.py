@@ -25,7 +25,10 @@ QUOTE_ALIASES = {
     "volume_value": ["valeur echangee", "volume fcfa", "montant"], "previous": ["cours veille", "precedent"], "open": ["ouverture"],
     "high": ["plus haut", "haut"], "low": ["plus bas", "bas"], "close": ["cloture", "dernier", "cours"], "announced": ["variation", "var"],
 }
-DIVIDEND_ALIASES = {"ex_date": ["detachement", "ex date", "date"], "ticker": ["symbole", "code"], "name": ["societe", "nom", "valeur"], "amount": ["montant", "dividende", "net"], "yield": ["rendement", "rdt"]}
+DIVIDEND_ALIASES = {
+    "ex_date": ["detachement", "ex date"], "pay_date": ["paiement"], "ticker": ["symbole", "code"], "name": ["societe", "nom", "valeur"],
+    "amount": ["montant", "dividende", "net"], "fiscal_year": ["exercice", "annee"], "yield": ["rendement", "rdt"],
+}
 HISTORY_ALIASES = {"date": ["date", "seance"], "open": ["ouverture", "open"], "high": ["plus haut", "high"], "low": ["plus bas", "low"], "close": ["cloture", "dernier", "close"], "volume": ["volume", "quantite"]}
 
 
@@ -184,8 +187,11 @@ def sectors(pages: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dividend_calendar(tables: DataFrame) -> DataFrame:
-    """(page_id, ex_date, ticker, name, amount, yield) of rows with a date, an amount and a company."""
-    rows = recognise(tables, DIVIDEND_ALIASES).select("page_id", tx.day(cell("ex_date")).alias("ex_date"), tx.ticker(cell("ticker")).alias("ticker"), tx.squeezed(cell("name")).alias("name"), tx.number(cell("amount")).alias("amount"), tx.number(cell("yield")).alias("yield"))
+    """(page_id, ex_date, pay_date, ticker, name, amount, fiscal_year, yield) of rows with a date, an amount and a company."""
+    rows = recognise(tables, DIVIDEND_ALIASES).select(
+        "page_id", tx.day(cell("ex_date")).alias("ex_date"), tx.day(cell("pay_date")).alias("pay_date"), tx.ticker(cell("ticker")).alias("ticker"), tx.squeezed(cell("name")).alias("name"),
+        tx.number(cell("amount")).alias("amount"), tx.fiscal_year(cell("fiscal_year")).alias("fiscal_year"), tx.number(cell("yield")).alias("yield"),
+    )
     return rows.filter("ex_date is not null and amount is not null and (ticker is not null or name is not null)")
 
 
@@ -202,9 +208,9 @@ def yearly_history(tables: DataFrame) -> DataFrame:
 def session_fundamentals(tables: DataFrame, date: Column) -> DataFrame:
     """(ticker, date, indicator, value) of a session's table; separator rows are skipped."""
     aliases = {"ticker": ["symbole", "code"], "dividend": ["dividende net", "dividende"], "yield": ["rendement net", "rendement"], "per": ["per"]}
-    rows = best_table(tables, aliases, ("ticker",)).select(tx.ticker(cell("ticker")).alias("ticker"), *[tx.number(cell(c)).alias(c) for c in ("dividend", "yield", "per")])
-    long = rows.filter(~F.col("ticker").startswith("SECTEUR")).unpivot("ticker", ["dividend", "yield", "per"], "indicator", "value")
-    return long.filter("value is not null").select("ticker", date.alias("date"), "indicator", "value")
+    rows = best_table(tables, aliases, ("ticker",)).select(tx.ticker(cell("ticker")).alias("ticker"), date.alias("date"), *[tx.number(cell(c)).alias(c) for c in ("dividend", "yield", "per")])
+    long = rows.filter(~F.col("ticker").startswith("SECTEUR")).unpivot(["ticker", "date"], ["dividend", "yield", "per"], "indicator", "value")
+    return long.filter("value is not null").select("ticker", "date", "indicator", "value")
 
 
 def page_fingerprints(tables: DataFrame) -> DataFrame:
@@ -232,10 +238,10 @@ def header_years(tables: DataFrame) -> DataFrame:
     return tables.select("page_id", F.explode(years).alias("year")).groupBy("page_id").agg(F.sort_array(F.collect_set("year")).alias("years"))
 
 
-def symbols(menus: DataFrame, default: str) -> DataFrame:
-    """(ticker, symbol) out of menu texts such as "ABC.ci"; index entries and entries without a dot are skipped."""
+def symbols(menus: DataFrame, default: str, index_prefix: str) -> DataFrame:
+    """(ticker, symbol) out of menu texts such as "ABC.ci"; entries of an index and entries without a dot are skipped."""
     entry = F.explode(F.regexp_extract_all("menu", F.lit("([A-Za-z0-9]+\\.[A-Za-z]{2})\\b"), F.lit(1)))
-    rows = menus.select(entry.alias("symbol")).filter(~F.upper("symbol").startswith("BRVM"))
+    rows = menus.select(entry.alias("symbol")).filter(~F.upper("symbol").startswith(index_prefix.upper()))
     return rows.select(F.upper(F.substring_index("symbol", ".", 1)).alias("ticker"), F.lower(F.substring_index("symbol", ".", -1)).alias("country")).distinct().withColumn("symbol", F.concat("ticker", F.lit("."), F.coalesce("country", F.lit(default))))
 
 
@@ -251,14 +257,20 @@ def tranches(ranges: DataFrame, days: int = 89) -> DataFrame:
     return rows.withColumn("to", F.least(F.date_add("from", days - 1), "end")).drop("start", "end")
 
 
-_ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("Date", "Open", "High", "Low", "Close", "Volume")])
-
-
 def history_payload(payloads: DataFrame) -> DataFrame:
-    """(ticker, date, open, high, low, close, volume) out of JSON ``{"lst": [...]}`` payloads of (ticker, payload)."""
-    parsed = payloads.select("ticker", F.explode(F.from_json("payload", T.StructType([T.StructField("lst", T.ArrayType(_ENTRY))]))["lst"]).alias("e"))
-    number = lambda c: tx.number(F.col(f"e.{c}"))
-    rows = parsed.select("ticker", tx.day(F.col("e.Date")).alias("date"), number("Open").alias("open"), number("High").alias("high"), number("Low").alias("low"), number("Close").alias("close"), number("Volume").alias("volume"))
+    """(ticker, date, open, high, low, close, volume) out of JSON ``{"lst": [...]}`` payloads of (ticker, payload).
+
+    Fields are recognised by their normalised names. A payload whose entries have no date or no close field is refused;
+    entries without a readable date or close are left out.
+    """
+    entries = F.from_json("payload", "lst array<map<string, string>>")["lst"]
+    lists = payloads.select("ticker", entries.alias("lst"))
+    has = lambda field: F.exists("lst", lambda e: F.arrays_overlap(F.transform(F.map_keys(e), lambda k: F.lower(k)), F.array(*[F.lit(a) for a in HISTORY_ALIASES[field]])))
+    refused = F.raise_error(F.concat(F.lit("no date or close field in the history of "), F.coalesce("ticker", F.lit("?")))).cast("array<map<string,string>>")
+    checked = F.when((F.size("lst") > 0) & ~(has("date") & has("close")), refused).otherwise(F.col("lst"))
+    rows = lists.select("ticker", F.explode(checked).alias("_e")).withColumn("_e", F.transform_keys("_e", lambda k, v: F.lower(k)))
+    field = lambda name: F.coalesce(*[F.try_element_at("_e", F.lit(a)) for a in HISTORY_ALIASES[name]])
+    rows = rows.select("ticker", tx.day(field("date")).alias("date"), *[tx.number(field(c)).alias(c) for c in ("open", "high", "low", "close", "volume")])
     return rows.filter("date is not null and close is not null")
 
 

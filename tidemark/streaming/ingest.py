@@ -10,18 +10,22 @@ from tidemark.sources import archive
 
 
 def quote_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Landed Parquet files of quotes as a stream under the declared schema."""
-    return spark.readStream.schema(schema("quotes")).parquet(folder)
+    """Landed Parquet files of quotes as a stream under the declared schema, with ``_landed``: the file's time and name."""
+    rows = spark.readStream.schema(schema("quotes")).parquet(folder)
+    return rows.select("*", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path")).alias("_landed"))
 
 
 def merge_batches(stream: DataFrame, root: str, checkpoint: str):
-    """Starts a query that upserts every batch; versions are named by batch, so a repeated batch is idempotent."""
+    """Starts a query that upserts every batch; versions are named by batch, so a repeated batch is idempotent.
+
+    Of several rows of a key the one that landed last counts.
+    """
     root = root.rstrip("/")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = archive.read(spark, "quotes", f"{root}/v-{number - 1}") if number else archive.empty(spark, "quotes")
-        archive.upsert(old, batch, "quotes").write.mode("overwrite").parquet(f"{root}/v-{number}")
+        archive.upsert(old, batch, "quotes", "_landed").write.mode("overwrite").parquet(f"{root}/v-{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
