@@ -13,7 +13,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import personal_data
 from .quality_classifier import quality_scores
-from .quality_rules import quality_rules
+from .quality_rules import quality_rules, text_counts
 from .sharding import shard
 
 
@@ -63,6 +63,12 @@ def op9_skip_chain_pii(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def quality_rule_counts(spark, sf_dir):
+    """The counts and the plain rules of op10, which SQL can express."""
+    counts = text_counts(table(spark, sf_dir, "documents"))
+    return counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
 QUERIES = {
     "op2_site_style_tree_text": op2_site_style_tree_text,
     "op9_skip_chain_pii": op9_skip_chain_pii,
@@ -74,9 +80,20 @@ QUERIES = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
     "op8_feistel_sharding": op8_feistel_sharding,
     "op10_robust_quality_rules": op10_robust_quality_rules,
+    "quality_rule_counts": quality_rule_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "quality_rule_counts": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n >= 2),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY 1),
+a AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM t JOIN l ON l.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a
+""",
     "op4_hyperminhash_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
