@@ -36,11 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = near_dedup.near_duplicates(numbered.select(row, "text"), id_col=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
     found = materialise(found, "groups")
-    many = found.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1").select("_group")
-    members = materialise(found.join(many, "_group").join(numbered.select(row, "doc_id"), row), "members")
-    first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("_first"))
-    dropped = members.join(first, "_group").filter(F.col(row) != F.col(f"_first.{row}")).select(row)
-    dropped = materialise(dropped, "dropped")
+    # one row a group is found by a pre-aggregated minimum; the joins are by row, so a large group is no hot key
+    ranked = found.join(numbered.select(row, "doc_id"), row)
+    first = ranked.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("_first"))
+    dropped = materialise(found.select(row).join(first.select(F.col(f"_first.{row}").alias(row)), row, "left_anti"), "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
     return numbered.join(dropped, row, "left_anti").select(docs.columns)
