@@ -73,6 +73,14 @@ def rank_sql(x: str, part: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {part} ORDER BY {x} ASC NULLS LAST) + (count({x}) OVER (PARTITION BY {part}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {part}) END"
 
 
+PREDICTOR_SQL = {
+    "momentum_long": lagged_sql(2, 26), "momentum_half": lagged_sql(2, 13), "reversal": f"-({lagged_sql(0, 2)})",
+    "trend": f"{strict_sql('avg', 'close', 4)} / {strict_sql('avg', 'close', 12)} - 1", "volatility": f"{strict_sql('stddev_samp', 'r', 12)} * sqrt(52.0)",
+    "liquidity": "quantile_cont(coalesce(volume_value, 0), 0.5) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)",
+    "amplitude": strict_sql("avg", "CASE WHEN close > 0 THEN (high - low) / close END", 12), "gap_to_mean": f"close / {strict_sql('avg', 'close', 26)} - 1",
+}
+FORWARD = "CASE WHEN close > 0 THEN lead(close, {}) OVER (PARTITION BY ticker ORDER BY date) / close - 1 END"
+PREDICTORS = f"{LOGS}, pd AS (SELECT date, ticker, {', '.join(f'{x} AS {p}' for p, x in PREDICTOR_SQL.items())}, {FORWARD.format(4)} AS h4, {FORWARD.format(8)} AS h8 FROM logs)"
 RANKED = f"""{FEATS},
 {cte("reference")},
 gated AS (SELECT * FROM feats WHERE coalesce(liquidity, 0) >= 1000 AND momentum IS NOT NULL AND trend IS NOT NULL AND volatility IS NOT NULL),
@@ -141,13 +149,10 @@ def latest_features(spark, d):
     return features.latest(features_of(spark, d)).select("date", "ticker", "momentum", "trend", "volatility", "liquidity")
 
 
-@query(f"""WITH {LOGS} SELECT CAST(date AS VARCHAR) AS date, ticker, round({lagged_sql(2, 13)}, 6) AS momentum_half, round(-({lagged_sql(0, 2)}), 6) AS reversal,
-round({strict_sql("avg", "CASE WHEN close > 0 THEN (high - low) / close END", 12)}, 6) AS amplitude, round(close / {strict_sql("avg", "close", 26)} - 1, 6) AS gap_to_mean,
-round(CASE WHEN close > 0 THEN lead(close, 8) OVER (PARTITION BY ticker ORDER BY date) / close - 1 END, 6) AS forward FROM logs""")
+@query(f"WITH {PREDICTORS} SELECT CAST(date AS VARCHAR) AS date, ticker, {', '.join(f'round({p}, 6) AS {p}' for p in PREDICTOR_SQL)}, round(h8, 6) AS forward FROM pd")
 def sweep_predictors(spark, d):
-    registry = features.predictors(FEATURES)
     rows = features.with_log_return(panel_of(spark, d))
-    return rows.select("date", "ticker", *[registry[k]().alias(k) for k in ("momentum_half", "reversal", "amplitude", "gap_to_mean")], features.forward_return(8).alias("forward"))
+    return rows.select("date", "ticker", *[column().alias(name) for name, column in features.predictors(FEATURES).items()], features.forward_return(8).alias("forward"))
 
 
 @query(f"WITH {RANKED} SELECT CAST(date AS VARCHAR) AS date, ticker, name, sector, round(score, 6) AS score, place FROM ranking")
@@ -508,10 +513,8 @@ def current_probabilities(spark, d):
     return learn.probabilities(sample_of(spark, d), panel_of(spark, d), FEATURES, LEARNING)
 
 
-SWEPT = f"""{LOGS}, {cte("reference")},
-pd AS (SELECT date, ticker, {lagged_sql(2, 26)} AS momentum_long, -({lagged_sql(0, 2)}) AS reversal, close / {strict_sql("avg", "close", 26)} - 1 AS gap_to_mean,
- CASE WHEN close > 0 THEN lead(close, 4) OVER (PARTITION BY ticker ORDER BY date) / close - 1 END AS h4, CASE WHEN close > 0 THEN lead(close, 8) OVER (PARTITION BY ticker ORDER BY date) / close - 1 END AS h8 FROM logs),
-lp AS (SELECT date, ticker, h4, h8, unnest(['momentum_long', 'reversal', 'gap_to_mean']) AS predictor, unnest([momentum_long, reversal, gap_to_mean]) AS value FROM pd),
+SWEPT = f"""{PREDICTORS}, {cte("reference")},
+lp AS (SELECT date, ticker, h4, h8, unnest([{", ".join(f"'{p}'" for p in PREDICTOR_SQL)}]) AS predictor, unnest([{", ".join(PREDICTOR_SQL)}]) AS value FROM pd),
 hp AS (SELECT date, ticker, predictor, value, unnest([4, 8]) AS horizon, unnest([h4, h8]) AS forward FROM lp),
 sg AS (SELECT 'market' AS segment, ticker FROM reference UNION ALL SELECT sector, ticker FROM reference WHERE sector IN (SELECT sector FROM reference GROUP BY 1 HAVING count(*) >= 4)),
 cl AS (SELECT segment, predictor, CAST(horizon AS BIGINT) AS horizon, date, value, forward FROM hp JOIN sg USING (ticker)), {spearman_sql("cl", "value", "forward", "segment, predictor, horizon, date", 4)}"""
@@ -519,7 +522,7 @@ cl AS (SELECT segment, predictor, CAST(horizon AS BIGINT) AS horizon, date, valu
 
 @query(f"WITH {SWEPT}, {mean_sql('segment, predictor, horizon', 'horizon', 3)}")
 def predictor_sweep(spark, d):
-    return shown_mean(research.sweep_cells(panel_of(spark, d), load(spark, d, "reference"), SWEEP, FEATURES, ["momentum_long", "reversal", "gap_to_mean"]))
+    return shown_mean(research.sweep_cells(panel_of(spark, d), load(spark, d, "reference"), SWEEP, FEATURES))
 
 
 @query()
@@ -527,10 +530,10 @@ def sweep_discoveries(spark, d):
     return research.sweep(panel_of(spark, d), load(spark, d, "reference"), SWEEP, FEATURES)
 
 
-@query(f"""WITH {cte("quotes")}, pv AS (SELECT ticker, date, round(1 / (1 + volume_shares), 6) AS p FROM quotes WHERE year(date) = 1999), rk AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM pv), bd AS (SELECT max(p) AS b FROM rk WHERE p <= 0.6 * r / m)
+@query(f"""WITH {cte("quotes")}, pv AS (SELECT ticker, date, round(1 / (1 + volume_shares), 6) AS p FROM quotes), rk AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM pv), bd AS (SELECT max(p) AS b FROM rk WHERE p <= 0.6 * r / m)
 SELECT ticker, CAST(date AS VARCHAR) AS date, p, coalesce(p <= (SELECT b FROM bd), false) AS discovered FROM pv""")
 def false_discovery_control(spark, d):
-    rows = quotes_of(spark, d).filter("year(date) = 1999").select("ticker", "date", F.round(1 / (1 + F.col("volume_shares")), 6).alias("p"))
+    rows = quotes_of(spark, d).select("ticker", "date", F.round(1 / (1 + F.col("volume_shares")), 6).alias("p"))
     return stats.benjamini_hochberg(rows, 0.6)
 
 
