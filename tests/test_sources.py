@@ -88,16 +88,37 @@ def test_ambiguous_names_are_refused(spark):
     assert {r.name for r in rest.collect()} == {"banque du nord", "Gone"}
 
 
-def test_stream_merges_by_key(spark, tmp_path):
+def test_stream_merges_by_key_and_month(spark, tmp_path):
     from tidemark.streaming import ingest
 
-    day = datetime.date(2024, 1, 2)
-    land, root = str(tmp_path / "land"), str(tmp_path / "table")
-    archive.conform(spark.createDataFrame([(day, "AA", 1.0)], "date date, ticker string, close double"), "quotes").write.parquet(land)
-    ingest.merge_batches(ingest.quote_stream(spark, land), root, str(tmp_path / "state")).awaitTermination()
-    archive.conform(spark.createDataFrame([(day, "AA", 3.0), (day, "BB", 2.0)], "date date, ticker string, close double"), "quotes").write.mode("append").parquet(land)
-    ingest.merge_batches(ingest.quote_stream(spark, land), root, str(tmp_path / "state")).awaitTermination()
-    assert sorted((r.ticker, r.close) for r in archive.read(spark, "quotes", f"{root}/v-1").collect()) == [("AA", 3.0), ("BB", 2.0)]
+    january, march = datetime.date(2024, 1, 2), datetime.date(2024, 3, 5)
+    land, root, state = (str(tmp_path / x) for x in ("land", "table", "state"))
+    kind = "date date, ticker string, close double"
+    arrive = lambda *rows: archive.conform(spark.createDataFrame(list(rows), kind), "quotes").write.mode("append").parquet(land)
+    merge = lambda where=state: ingest.merge_batches(ingest.quote_stream(spark, land), root, where).awaitTermination()
+    shown = lambda before=None: sorted((r.month, r.ticker, r.close) for r in ingest.merged_quotes(spark, root, before).collect())
+    arrive((january, "AA", 1.0), (march, "AA", 5.0), (None, "CC", 9.0))
+    merge()
+    arrive((january, "AA", 3.0), (january, "BB", 2.0))
+    merge()
+    assert shown() == [("2024-01", "AA", 3.0), ("2024-01", "BB", 2.0), ("2024-03", "AA", 5.0)]
+    assert shown(1) == [("2024-01", "AA", 1.0), ("2024-03", "AA", 5.0)]
+    written = {str(p.parent.relative_to(root)) for p in (tmp_path / "table").rglob("*.parquet")}
+    assert written == {"month=2024-01/batch=0", "month=2024-01/batch=1", "month=2024-03/batch=0"}  # March is not rewritten
+    arrive((march, "AA", 6.0))
+    merge()
+    assert shown() == [("2024-01", "AA", 3.0), ("2024-01", "BB", 2.0), ("2024-03", "AA", 6.0)]
+
+
+def test_weekly_turnover_adds_a_week(spark, tmp_path):
+    from tidemark.streaming import ingest
+
+    land = str(tmp_path / "land")
+    rows = [(datetime.date(2024, 1, 4), "AA", 1.0, 10.0), (datetime.date(2024, 1, 5), "AA", 1.0, 5.0), (datetime.date(2024, 1, 5), "BB", 1.0, 2.0), (datetime.date(2024, 3, 1), "AA", 1.0, 7.0)]
+    archive.conform(spark.createDataFrame(rows, "date date, ticker string, close double, volume_value double"), "quotes").write.parquet(land)
+    query = ingest.weekly_turnover(ingest.quote_stream(spark, land)).writeStream.format("memory").queryName("weeks").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.ticker, r.turnover, r.rows) for r in spark.table("weeks").collect()) == [("AA", 7.0, 1), ("AA", 15.0, 2), ("BB", 2.0, 1)]
 
 
 def test_country_suffixes_and_refused_payloads(spark):
