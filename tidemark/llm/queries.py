@@ -69,6 +69,24 @@ def quality_rule_counts(spark, sf_dir):
     return counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def personal_data_base(spark, sf_dir):
+    """The base columns of op9, which SQL can express."""
+    return op9_skip_chain_pii(spark, sf_dir).drop("spans")
+
+
+def language_model_base(spark, sf_dir):
+    """The base columns of op5, which SQL can express."""
+    scored = op5_context_mixing_lm(spark, sf_dir)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 6) + 0.0).alias("base_score"))
+
+
+def shard_rows(spark, sf_dir):
+    """Rows, slots and sizes of op8 by shard as far as its law decides them, and the size of all."""
+    dealt = op8_feistel_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("rows"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.sum("size").alias("_size"))
+    total = dealt.agg(F.sum("_size").alias("size_of_all"))
+    return dealt.crossJoin(F.broadcast(total)).select(F.col("shard").cast("long").alias("shard"), "rows", "slots", "first_slot", "last_slot", "size_of_all")
+
+
 QUERIES = {
     "op2_site_style_tree_text": op2_site_style_tree_text,
     "op9_skip_chain_pii": op9_skip_chain_pii,
@@ -81,8 +99,20 @@ QUERIES = {
     "op8_feistel_sharding": op8_feistel_sharding,
     "op10_robust_quality_rules": op10_robust_quality_rules,
     "quality_rule_counts": quality_rule_counts,
+    "personal_data_base": personal_data_base,
+    "language_model_base": language_model_base,
+    "shard_rows": shard_rows,
 }
 
+# a kind's matches lie between the characters 1 and 2, so that the lengths of the pieces give their places
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS i, '{kind}' AS kind, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS s FROM t"
+    for i, (kind, pattern) in enumerate([
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+){3}"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ])
+)
+
 ORACLE_SQL: dict[str, str] = {
     "quality_rule_counts": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -127,5 +157,38 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FRO
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(m.s, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+""",
+    "personal_data_base": rf"""
+WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(1), '?'), chr(2), '?') AS t FROM documents),
+m AS ({_MATCHES}),
+p AS (SELECT *, unnest(range(2, len(s) + 1)) AS j FROM m),
+x AS (SELECT doc_id, i, kind, split_part(s[j], chr(2), 1) AS x, regexp_replace(split_part(s[j], chr(2), 1), '[^0-9]', '', 'g') AS d,
+        CAST(list_sum([length(s[k]) - CASE WHEN k > 1 THEN 1 ELSE 0 END FOR k IN range(1, j)]) AS BIGINT) AS a FROM p),
+g AS (SELECT *, a + length(x) AS b FROM x WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(d) BETWEEN 8 AND 15
+        WHEN 'ip' THEN list_bool_and([length(ltrim(q, '0')) <= 3 AND CAST('0' || right(q, 3) AS INT) <= 255 FOR q IN string_split(x, '.')])
+        ELSE length(d) BETWEEN 16 AND 19 AND list_sum([CASE WHEN n % 2 = 1 THEN CAST(substr(d, length(d) - n + 1, 1) AS INT)
+          ELSE CAST(substr('0246813579', CAST(substr(d, length(d) - n + 1, 1) AS INT) + 1, 1) AS INT) END FOR n IN range(1, length(d) + 1)]) % 10 = 0 END)
+SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY i, a), '')) AS base_sha256
+FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id
+""",
+    "language_model_base": r"""
+WITH RECURSIVE z AS (SELECT range AS i, 0 AS n, range AS c FROM range(256) UNION ALL SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM z WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM z WHERE n = 8),
+h AS (SELECT doc_id, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM documents UNION ALL
+  SELECT doc_id, k + 1, xor(c >> 8, tab[xor(c & 255, CAST(ascii(substr(CAST(doc_id AS VARCHAR), k + 1, 1)) AS BIGINT)) + 1]) FROM h, crc WHERE k < length(CAST(doc_id AS VARCHAR))),
+f AS (SELECT doc_id, xor(arg_max(c, k), 4294967295) % 7 = 2 AS held_out FROM h GROUP BY 1),
+w AS (SELECT doc_id, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '')) AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS m FROM w GROUP BY 1, 2),
+c AS (SELECT w, sum(m) AS c FROM g JOIN f USING (doc_id) WHERE NOT held_out GROUP BY 1),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT g.doc_id, f.held_out, CAST(sum(m) AS BIGINT) AS n_tokens, CAST(coalesce(sum(m) FILTER (c.c IS NOT NULL), 0) AS BIGINT) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens,
+       round(sum(m * log10((coalesce(c.c, 0) + 1) / CAST(n.n + n.v + 1 AS DOUBLE))), 6) AS base_score
+FROM g JOIN f ON f.doc_id = g.doc_id LEFT JOIN c ON c.w = g.w CROSS JOIN n GROUP BY 1, 2
+""",
+    "shard_rows": """
+WITH n AS (SELECT count(*) AS n, sum(strlen(coalesce(text, '')) + 16) AS s FROM documents)
+SELECT range AS shard, n // 40 + CASE WHEN range < n % 40 THEN 1 ELSE 0 END AS rows, rows AS slots, CAST(0 AS BIGINT) AS first_slot, rows - 1 AS last_slot, CAST(s AS BIGINT) AS size_of_all
+FROM n, range(40) WHERE rows > 0
 """,
 }
