@@ -433,6 +433,16 @@ def test_a_third_of_repeated_words_is_an_outlier(spark):
 
 
 # -- personal data ------------------------------------------------------------------------------------------------------
+def test_quantiles_of_groups_come_from_counts_of_bins(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.random(501), "b": np.repeat([0.25, 0.75], [3, 9]), "c": rng.random(1)}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in values.items() for v in x], "g string, x double")
+    for parts in (1, 5):
+        got = {r.g: (r.low, r.core) for r in quality_rules._quantiles(rows.repartition(parts), ["g"], rows.x, 0.01, {"low": 0.25, "core": 0.75}).collect()}
+        first = lambda x, share: int(np.floor(np.sort(x)[int(np.ceil(share * len(x))) - 1] / 0.01))
+        assert got == {g: (first(x, 0.25), first(x, 0.75)) for g, x in values.items()}
+
+
 PII_TEXTS = [
     "mail a.b+c@ex-1.example.com, x@y, @z.com and q@w.e.r", "1.2.3.4.5.6 999.1.1.1 10.0.0.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (988) 555-2485 +12 +(3) 4",
     "card 4111111111111111 again 4111.1111.1111.1111 é\U0001f600 x@y.com", "", None, "9" * 3000, "no data here", "call +22 50 10 20 30 40 or 50 10 20 30 40 99 or 22 50-10-20-30-40",

@@ -10,7 +10,9 @@ that of a chi-square variable, exceeds ``cutoff``.
 
 Groups with fewer than ``min_rows`` texts are pooled by language, then altogether; texts of a pool
 that is still smaller get no verdict and stay. Group parameters are broadcast while there are at
-most ``broadcast_groups`` of them and joined on a salted key beyond that.
+most ``broadcast_groups`` of them and joined on a salted key beyond that. Quartiles, core bounds and
+medians are read from counts by bin (``WIDTH`` for statistics, ``LOG_WIDTH`` for the logarithm of a distance):
+equal for every order and partition of the rows, and no task holds the values of a group.
 
 Cases: null text counts as empty (0 words, fails the length rule); null language or source form
 groups of their own; no rows give an empty result; repeated rows each get their row; other columns
@@ -20,7 +22,7 @@ repeated line stays inside the cutoff, and a third of repeated words passes it w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -31,6 +33,8 @@ DIMS = tuple(f"x{i}" for i in range(len(FLOORS)))
 #: Median of a chi-square variable with four degrees of freedom.
 CHI2_MEDIAN = 3.3567
 SALTS = 16
+#: Bin widths of a statistic, a twentieth of the least deviation, and of ln(1 + distance).
+WIDTH, LOG_WIDTH = 0.001, 0.001
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -65,6 +69,17 @@ def _attach(rows: DataFrame, params: DataFrame, key: list[str], groups: int, lim
     return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "_salt"], "left").drop("_salt")
 
 
+def _quantiles(rows: DataFrame, key: list[str], x: Column, width: float, shares: dict[str, float]) -> DataFrame:
+    """For each group and name in ``shares`` the number of the first bin of ``x`` that reaches the share of its rows.
+
+    Counts by bin are aggregated before they move; a group's bins are as many as its values spread, not its rows.
+    """
+    counted = rows.groupBy(*key, F.floor(x / width).alias("_bin")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*key)
+    placed = counted.select(*key, "_bin", F.sum("_n").over(own.orderBy("_bin")).alias("_at"), F.sum("_n").over(own).alias("_all"))
+    return placed.groupBy(*key).agg(*[F.min(F.when(F.col("_at") >= share * F.col("_all"), F.col("_bin"))).alias(name) for name, share in shares.items()])
+
+
 def _scatter(subset: DataFrame, key: list[str]) -> DataFrame:
     """Mean and Cholesky factor of the covariance of each group, and its log determinant."""
     p = len(DIMS)
@@ -112,23 +127,26 @@ def quality_rules(docs: DataFrame, core: float = 0.75, c_steps: int = 3, cutoff:
     judged = rows.filter(~F.col("base_failed")).select("doc_id", "g", *DIMS)
 
     # deterministic starts: distances from the median in units of the spread between quartiles
-    quart = lambda x: F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q_{x}")
-    spread = materialise(judged.groupBy("g").agg(*[quart(x) for x in DIMS]), "quartiles")
-    z = lambda x, i: F.abs(F.col(x) - F.col(f"q_{x}")[1]) / (F.lit(FLOORS[i]) + (F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349)
+    values = judged.select("g", F.posexplode(F.array(*DIMS)).alias("dim", "_x"))
+    bins = _quantiles(values, ["g", "dim"], F.col("_x"), WIDTH, {"low": 0.25, "mid": 0.5, "high": 0.75})
+    quart = [F.max(F.when(F.col("dim") == i, F.struct(*[((F.col(q) + 0.5) * WIDTH).alias(q) for q in ("low", "mid", "high")]))).alias(f"q_{x}") for i, x in enumerate(DIMS)]
+    spread = materialise(bins.groupBy("g").agg(*quart), "quartiles")
+    z = lambda x, i: F.abs(F.col(x) - F.col(f"q_{x}.mid")) / (F.lit(FLOORS[i]) + (F.col(f"q_{x}.high") - F.col(f"q_{x}.low")) / 1.349)
     started = _attach(judged, spread, ["g"], groups, broadcast_groups)
     scaled = [z(x, i) for i, x in enumerate(DIMS)]
     starts = F.array(sum((v * v for v in scaled), F.lit(0.0)), F.greatest(*scaled))
     both = started.select("doc_id", "g", *DIMS, F.posexplode(starts).alias("start", "d2"))
     key = ["g", "start"]
     for _ in range(c_steps):
-        bound = both.groupBy(*key).agg(F.percentile_approx("d2", F.lit(core), F.lit(1000)).alias("bound"))
-        inner = _attach(both, bound, key, groups, broadcast_groups).filter(F.col("d2") <= F.col("bound"))
+        bound = _quantiles(both, key, F.log1p("d2"), LOG_WIDTH, {"bound": core})
+        inner = _attach(both, bound, key, groups, broadcast_groups).filter(F.floor(F.log1p("d2") / LOG_WIDTH) <= F.col("bound"))
         params = materialise(_scatter(inner, key), "scatter")
         two = judged.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
         both = _attach(two, params, key, groups, broadcast_groups).select("doc_id", *key, *DIMS, _distance().alias("d2"))
     best = params.groupBy("g").agg(F.min_by(F.struct(*[c for c in params.columns if c != "g"]), F.struct("logdet", "start")).alias("p")).select("g", "p.*").drop("start", "logdet")
-    typical = _attach(judged, best, ["g"], groups, broadcast_groups).groupBy("g").agg(F.median(_distance()).alias("typical"), F.count("*").alias("members"))
-    best = materialise(best.join(typical, "g"), "estimates")
+    judged = _attach(judged, best, ["g"], groups, broadcast_groups).select("g", _distance().alias("d2"))
+    typical = _quantiles(judged, ["g"], F.log1p("d2"), LOG_WIDTH, {"_mid": 0.5}).select("g", F.expm1((F.col("_mid") + 0.5) * LOG_WIDTH).alias("typical"))
+    best = materialise(best.join(typical, "g").join(judged.groupBy("g").agg(F.count("*").alias("members")), "g"), "estimates")
     scale = F.greatest(F.col("typical") / CHI2_MEDIAN, F.lit(1.0))
     out = _attach(rows, best, ["g"], groups, broadcast_groups)
     distance = F.when(~F.col("base_failed"), _distance() / scale)
