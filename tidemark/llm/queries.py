@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import conversation, periodic_runs, url_filter
 from .common import table
 from .decontaminate import contamination
 from .html_extract import extract
@@ -63,6 +64,27 @@ def op9_skip_chain_pii(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    planted = periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(planted))
+
+
+#: The rules as (host, path, verdict) and the hosts whose URLs are listed, in the three zones of the tables.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+LISTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_ZONES = ("example.com", "example.net", "example.org")
+
+
+def op12_blocked_bloom_urls(spark, sf_dir):
+    listed = url_filter.entries(spark, URL_RULES, [f"{host}.{zone}/" for host in LISTED_HOSTS for zone in LISTED_ZONES])
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), listed).drop("is_listed")
+
+
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation.repair(conversation.damaged(conversations), conversations)
+
+
 def quality_rule_counts(spark, sf_dir):
     """The counts and the plain rules of op10, which SQL can express."""
     counts = text_counts(table(spark, sf_dir, "documents"))
@@ -98,6 +120,9 @@ QUERIES = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
     "op8_feistel_sharding": op8_feistel_sharding,
     "op10_robust_quality_rules": op10_robust_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_blocked_bloom_urls": op12_blocked_bloom_urls,
+    "op13_conversation_repair": op13_conversation_repair,
     "quality_rule_counts": quality_rule_counts,
     "personal_data_base": personal_data_base,
     "language_model_base": language_model_base,
@@ -113,7 +138,63 @@ _MATCHES = " UNION ALL ".join(
     ])
 )
 
+_CRC = r"""z AS (SELECT range AS i, 0 AS n, range AS c FROM range(256) UNION ALL SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM z WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM z WHERE n = 8)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_periodic_runs": rf"""
+WITH RECURSIVE {_CRC},
+h AS (SELECT doc_id, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM documents UNION ALL
+  SELECT doc_id, k + 1, xor(c >> 8, tab[xor(c & 255, CAST(ascii(substr(CAST(doc_id AS VARCHAR), k + 1, 1)) AS BIGINT)) + 1]) FROM h, crc WHERE k < length(CAST(doc_id AS VARCHAR))),
+f AS (SELECT doc_id, xor(arg_max(c, k), 4294967295) AS h FROM h GROUP BY 1),
+o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o FROM documents),
+p AS (SELECT *, 1 + (len(o) - a) // (3 + (h // 10) % 8) AS p FROM (SELECT o.doc_id, o, h, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) ELSE 0 END AS a FROM o JOIN f USING (doc_id))),
+t AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN [CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END FOR i IN range(0, len(o))] ELSE o END AS w FROM p),
+u AS (SELECT doc_id, i, w[i + 1] AS w FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM t)),
+g AS (SELECT doc_id, i, [w, lead(w) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d, lead(w, 5) OVER d] AS g, lead(i, 5) OVER d IS NOT NULL AS whole FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT a.doc_id, b.i AS i, b.i - a.i AS lag FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i WHERE a.whole AND b.whole),
+d AS (SELECT doc_id, lag, min(i) - lag AS s, max(i) + 6 - min(i) + lag AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS x FROM m) GROUP BY doc_id, lag, x),
+r AS (SELECT doc_id, s, n, min(lag) AS q FROM d WHERE n >= greatest(12, 2 * lag) GROUP BY 1, 2, 3),
+x AS (SELECT doc_id, count(*) AS n_runs, max({{'n': n, 's': -s, 'q': -q}}) AS b, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS l FROM r GROUP BY 1),
+c AS (SELECT u.doc_id, string_agg(u.w, ' ' ORDER BY u.i) AS c FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = u.doc_id AND u.i >= r.s + r.q AND u.i < r.s + r.n) GROUP BY 1)
+SELECT t.doc_id, coalesce(x.n_runs, 0) AS n_runs, -b.s AS start, b.n AS length, -b.q AS period, 1000 * b.n // -b.q AS exponent_milli, sha256(coalesce(x.l, '')) AS runs_sha256, sha256(coalesce(c.c, '')) AS collapsed_sha256
+FROM t LEFT JOIN x ON x.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id
+""",
+    "op12_blocked_bloom_urls": rf"""
+WITH l AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}) v(h, p, v)),
+k AS (SELECT x || '.' || y AS h FROM (VALUES {", ".join(f"('{h}')" for h in LISTED_HOSTS)}) a(x), (VALUES {", ".join(f"('{z}')" for z in LISTED_ZONES)}) b(y)),
+r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
+m AS (SELECT page_id, max({{'n': length(l.h) + length(l.p), 'h': length(l.h), 'r': l.h || l.p, 'v': l.v}}) AS m FROM u JOIN l ON (host = l.h OR suffix(host, '.' || l.h)) AND prefix(path, l.p) GROUP BY 1)
+SELECT u.page_id, host, path, m.r AS rule, coalesce(m.v, CASE WHEN EXISTS (SELECT 1 FROM k WHERE host = k.h OR suffix(host, '.' || k.h)) AND (path = '' OR prefix(path, '/')) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m ON m.page_id = u.page_id
+""",
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE {_CRC},
+o AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT id, k, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM o UNION ALL SELECT id, k, i + 1, xor(c >> 8, tab[xor(c & 255, CAST(ascii(substr(k, i + 1, 1)) AS BIGINT)) + 1]) FROM h, crc WHERE i < length(k)),
+f AS (SELECT id, xor(arg_max(c, i), 4294967295) % 20 AS f FROM h GROUP BY 1),
+d AS (SELECT id, conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS j FROM o JOIN f USING (id) WHERE f <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id, j) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, id, j) AS again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS e FROM d),
+r AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS x, CASE WHEN e = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN e NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM n),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY 1),
+ins AS (SELECT * FROM (VALUES ('0', '0', 0, ''), ('s', 's', 0, ''), ('u', 'u', 0, ''), ('a', 'a', 0, ''), ('0', 'u', 3, 'I'), ('s', 'u', 3, 'I'), ('u', 'a', 3, 'I'), ('a', 'u', 3, 'I'), ('0', 'a', 6, 'II'), ('s', 'a', 6, 'II')) v(g, g2, c, a)),
+nxt AS (SELECT * FROM (VALUES ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) v(g, g2)),
+s AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '0' AS g, {{'c': 0, 'a': ''}} AS best FROM c UNION ALL
+  SELECT conv_id, i, g, min({{'c': c, 'a': a}}) FROM (
+    SELECT s.conv_id, r.i, CASE e.e WHEN 'D' THEN ins.g2 WHEN 'R' THEN nxt.g2 ELSE r.x END AS g, s.best.a || ins.a || e.e AS a,
+           s.best.c + ins.c + CASE e.e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e.e <> 'D' AND r.fault = 't' THEN 3 ELSE 0 END AS c
+    FROM s JOIN r ON r.conv_id = s.conv_id AND r.i = s.i + 1 JOIN ins ON ins.g = s.g JOIN nxt ON nxt.g = ins.g2 CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(e)
+    WHERE e.e = 'D' OR r.fault NOT IN ('b', 'd') AND (e.e = 'R' OR r.x = nxt.g2 OR r.x = 's' AND ins.g2 = '0')) q GROUP BY conv_id, i, g),
+w AS (SELECT s.conv_id, min({{'c': s.best.c + z.c, 'a': s.best.a || z.a}}) AS w FROM s JOIN c ON c.conv_id = s.conv_id AND c.n = s.i JOIN (VALUES ('0', 0, ''), ('a', 0, ''), ('u', 3, 'I'), ('s', 6, 'II')) z(g, c, a) ON z.g = s.g GROUP BY 1),
+e AS (SELECT conv_id, j, substr(w.a, j, 1) AS e, length(replace(left(w.a, j), 'I', '')) AS i FROM (SELECT conv_id, w, unnest(range(1, length(w.a) + 1)) AS j FROM w)),
+y AS (SELECT e.conv_id, e.j, e.e, r.role, r.text, r.x, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.j) AS k FROM e LEFT JOIN r ON r.conv_id = e.conv_id AND r.i = e.i WHERE e.e <> 'D'),
+v AS (SELECT *, max(CASE WHEN k = 1 AND e = 'K' AND x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM y),
+q AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS q FROM v GROUP BY 1)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+       CAST(coalesce(w.w.c, 0) AS BIGINT) AS cost, coalesce(w.w.a, '') AS audit, sha256(coalesce(q.q, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id = o.conv_id LEFT JOIN w ON w.conv_id = o.conv_id LEFT JOIN q ON q.conv_id = o.conv_id
+""",
     "quality_rule_counts": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM t),
