@@ -54,6 +54,18 @@ def _least(initial: str, fault: str) -> int:
     return min(DELETE, (initial == "?") * CHANGE + (fault == "t") * CUT)
 
 
+def _deleting(rows: Rows, entry: int, goal: int) -> tuple[int, str] | None:
+    """The best edits to a place that only deletions keep: all rows go, or all but one system turn."""
+    n = len(rows) // 2
+    if entry == goal:
+        return DELETE * n, "D" * n
+    kept = [(CUT * (rows[2 * i + 1] == "t"), -i) for i in range(n) if rows[2 * i] == "s" and rows[2 * i + 1] in ".t"]
+    if goal != SYSTEM or entry != NOTHING or not kept:
+        return None
+    more, at = min(kept)  # the last of the cheapest: D is less than K
+    return DELETE * (n - 1) + more, "D" * -at + "K" + "D" * (n - 1 + at)
+
+
 @lru_cache(maxsize=50_000)
 def search(rows: Rows, entry: int = NOTHING, goal: int | None = None) -> tuple[int, str] | None:
     """Cost and edits of the first accepted path of least cost; None where there is none.
@@ -65,10 +77,8 @@ def search(rows: Rows, entry: int = NOTHING, goal: int | None = None) -> tuple[i
     ahead = [0] * (n + 1)
     for i in range(n - 1, -1, -1):
         ahead[i] = ahead[i + 1] + _least(rows[2 * i], rows[2 * i + 1])
-    if goal == NOTHING and entry != NOTHING or goal == SYSTEM and entry != SYSTEM and not (entry == NOTHING and any(rows[2 * i] == "s" and rows[2 * i + 1] in ".t" for i in range(n))):
-        return None
-    if n == 0 and goal is not None:
-        return (0, "") if entry == goal else None
+    if goal in (NOTHING, SYSTEM) or n == 0 and goal is not None:
+        return _deleting(rows, entry, goal)
     proved: dict[tuple[int, int], int] = {}
 
     def moves(i: int, place: int) -> Iterator[tuple[str, int, int, int]]:
