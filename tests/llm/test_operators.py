@@ -116,6 +116,22 @@ def test_ids_of_any_letters_equal_the_tokenizers():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
+def test_ids_of_letters_before_every_mark():
+    """The tokenizer composes before it lowers: a lowered letter must not meet a mark that its capital leaves alone."""
+    from tokenizers import Tokenizer
+
+    tokenizer, tokens, draw = Tokenizer.from_file(tokenizer_path()), packing.WordTokens(tokenizer_path(), 1), random.Random(18)
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [a + m + tail for a in letters for m in marks for tail in ("", ".")]
+    pool = letters + marks[:20] + ["\u030c", "\u0331", "\u0308", "\u030a", " ", ".", ",", "\u00c5", "\u00ff", "\u1e97", "\u0130", "\u0391", "\u0342", "\u0345", "7", "\n"]
+    texts += ["".join(draw.choice(pool) for _ in range(draw.randint(1, 12))) for _ in range(100_000)]
+    for a in range(0, len(texts), 10_000):
+        some = texts[a : a + 10_000]
+        for text, got in zip(some, tokens([t.encode() for t in some]), strict=True):
+            assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u4").tobytes(), repr(text)
+
+
 def test_packing_takes_ids_of_any_type(spark):
     docs = spark.createDataFrame([("a", "one two"), ("b", None), (None, "three")], "doc_id string, text string")
     got = packing.pack(docs, tokenizer_path(), size=4).collect()

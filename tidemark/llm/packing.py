@@ -31,11 +31,19 @@ _STATE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 _COLUMNS = ["doc_id", *[c.split()[0] for c in _STATE.split(", ")]]
 
 
+def _lowered(text: bytes) -> list[bytes]:
+    """Words in lower case (A-Z), those with combining marks (U+0300 to U+036F: lead bytes CC and CD) unchanged."""
+    if b"\xcc" in text or b"\xcd" in text:
+        return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
+    return text.lower().split()
+
+
 class WordTokens:
     """Ids, as little-endian unsigned 32-bit, of a text whose tokenizer never joins across ASCII space.
 
-    The tokenizer ignores case and takes letters and punctuation apart, so words are remembered in
-    lower case, and a word of letters without marks of their own with one closing mark as the word and the mark. ``remember`` bounds the words kept:
+    The tokenizer composes letters and marks, then ignores case, and takes letters and punctuation apart. So words are
+    remembered in lower case, but those with combining marks as they stand, as a lowered letter may join a mark that the capital does not; and a
+    word of letters without marks of their own with one closing mark as the word and the mark. ``remember`` bounds the words kept:
     beyond it, those that came last, the rarer ones, are forgotten. A worker keeps them from task to task.
     """
 
@@ -71,9 +79,9 @@ class WordTokens:
                 self.ids[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
+        split = [_lowered(t) for t in texts]
         new = [w for w in set().union(*split) if w not in self.ids]
-        # the tokenizer lowers first: a lowered letter may end in a combining mark, which would join the closing one
+        # a lowered letter may end in a combining mark, which would join the closing one
         marked = [w for w in new if w[-1:] in (b".", b",") and (w[:-1].isalpha() or w[:-1].decode().lower().isalpha() and unicodedata.normalize("NFD", w[:-1].decode().lower()) == w[:-1].decode().lower())]
         wanted = set(new) - set(marked) | {w[:-1] for w in marked} | ({b".", b","} if marked else set())
         self.encode([w for w in wanted if w not in self.ids])
