@@ -125,9 +125,39 @@ def test_random_walks_are_rarely_mean_reverting_and_ou_is_found(spark):
     assert sum(r.theta is not None for t, r in got.items() if t != "OU") <= 5
 
 
-@pytest.mark.parametrize(("t", "df", "p"), [(2.0, 10, 0.07338803), (0.5, 3, 0.6514383), (12.706205, 1, 0.05), (1.959964, 1e6, 0.05), (0.0, 5, 1.0)])
-def test_student_p_values(t, df, p):
-    assert stats.student_p(t, df) == pytest.approx(p, rel=1e-4)
+def plain_p(t, v):
+    """Two-sided p of Student's t for whole degrees of freedom, by the finite series in the angle."""
+    h = math.atan(abs(t) / math.sqrt(v))
+    c, s, term, total = math.cos(h), math.sin(h), 1.0, 0.0
+    if v % 2:
+        for k in range((v - 1) // 2):
+            total += term * c ** (2 * k + 1)
+            term *= (2 * k + 2) / (2 * k + 3)
+        return 1 - 2 / math.pi * (h + s * total)
+    for k in range(v // 2):
+        total += term * c ** (2 * k)
+        term *= (2 * k + 1) / (2 * k + 2)
+    return 1 - s * total
+
+
+def test_student_p_values(spark):
+    tabled = [(2.0, 10, 0.07338803), (0.5, 3, 0.6514383), (12.706205, 1, 0.05), (1.959964, 10**6, 0.05)]
+    cases = [(t, v) for t in (0.001, 0.3, -1.0, 1.96, -2.5, 4.0, 9.0, 40.0) for v in (1, 2, 3, 4, 7, 10, 33, 88, 365, 5000)] + [(t, v) for t, v, _ in tabled]
+    odd = [(0.0, 5), (math.inf, 5), (math.nan, 5), (None, 5), (1.0, 0), (1.0, None)]
+    df = spark.createDataFrame([(i, None if t is None else float(t), v) for i, (t, v) in enumerate([*cases, *odd])], "i int, t double, v int")
+    from tidemark.functions.student import student_p
+
+    got = [r.p for r in df.select("i", student_p(F.col("t"), F.col("v")).alias("p")).orderBy("i").collect()]
+    for (t, v), p in zip(cases, got, strict=False):
+        assert p == pytest.approx(plain_p(t, v), abs=1e-9), (t, v)
+    for p, (_, _, want) in zip(got[len(cases) - len(tabled) :], tabled, strict=False):
+        assert p == pytest.approx(want, rel=1e-4)
+    assert got[-6:-4] == [1.0, 0.0] and math.isnan(got[-4]) and got[-3:] == [None] * 3
+
+
+def test_p_values_need_no_python_worker(spark):
+    df = spark.createDataFrame([(1.0, 5)], "t double, periods long")
+    assert "Python" not in stats.with_p_value(df)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_benjamini_hochberg_keeps_up_to_the_largest_passing_rank(spark):
@@ -169,6 +199,71 @@ def test_learning_finds_a_planted_signal(spark):
     assert learn.walk_forward(df.limit(50), LearningSettings(least_rows=100)) is None
 
 
+def plain_fit(x, y, penalty):
+    """Newton's method on one group in numpy: scales and coefficients."""
+    mean, dev = x.mean(0), x.std(0)
+    dev[dev == 0] = 1
+    z, b = np.c_[np.ones(len(x)), (x - mean) / dev], np.zeros(x.shape[1] + 1)
+    ridge = np.diag([0.0, *[1.0] * x.shape[1]])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ b))
+        b = b - np.linalg.solve(ridge + penalty * (z.T * (p * (1 - p))) @ z, penalty * z.T @ (p - y) + ridge @ b)
+    return mean, dev, b
+
+
+def test_grouped_fits_equal_one_fit_a_group(spark):
+    from tidemark.operators import logistic
+
+    draw, rows = np.random.default_rng(4), []
+    for g, n in (("one", 300), ("two's", 40), ("flat", 50), ("single", 20)):
+        x = draw.normal(size=(n, 3)) * [1.0, 50.0, 0.0 if g == "flat" else 0.1] + [0, 1000, 3]
+        y = np.ones(n) if g == "single" else (draw.random(n) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+        rows += [(g, *map(float, r), float(t)) for r, t in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, label double").repartition(5)
+    for penalty in (0.1, 1000.0):  # the weak penalty needs shortened steps
+        fitted = logistic.fits(df, "g", ["a", "b", "c"], penalty)
+        got = {r.g: r for r in fitted.collect()}
+        assert set(got) == {"one", "two's", "flat"}
+        for g, r in got.items():
+            own = np.array([row[1:] for row in rows if row[0] == g])
+            mean, dev, b = plain_fit(own[:, :3], own[:, 3], penalty)
+            assert [r[f"_b{i}"] for i in range(4)] == pytest.approx(list(b), abs=1e-7)
+            p = {(x.a, x.b): x.probability for x in logistic.with_probability(df, fitted, "g", ["a", "b", "c"]).filter(F.col("g") == g).collect()}
+            assert len(p) == len(own)
+            for row in own:
+                assert p[row[0], row[1]] == pytest.approx(1 / (1 + math.exp(-(b[0] + b[1:] @ ((row[:3] - mean) / dev)))), abs=1e-7)
+    assert logistic.fits(df.filter("g = 'single'"), "g", ["a"], 0.1) is None
+
+
+def test_sample_does_not_change_with_later_data(spark):
+    """A row whose label's session is known keeps ranks, label and return when the history is cut after that session."""
+    series = walks(9, 60, [f"T{i}" for i in range(6)])
+    rows = lambda n: {(r.date, r.ticker): r for r in learn.sample(panel.dense(market(spark, {t: v[:n] for t, v in series.items()})), 4, SMALL).collect()}
+    full, early = rows(60), rows(40)
+    last = START + datetime.timedelta(days=40 - 1 - 4)
+    assert set(early) == {k for k in full if k[0] <= last} and len(early) > 100
+    assert all(full[k] == r for k, r in early.items())
+
+
+def test_external_variations_do_not_change_with_later_data(spark):
+    from tidemark.operators import exogenous
+    from tidemark.settings import ExternalSettings
+
+    draw = random.Random(2)
+    points = [(START + datetime.timedelta(days=7 * i), s, 100 + draw.random()) for i in range(12) for s in ("oil", "gold")]
+    days = [START + datetime.timedelta(days=i) for i in range(80)]
+    tickers = spark.createDataFrame([("AA", "S0"), ("BB", "S1")], "ticker string, sector string")
+    mapping = spark.createDataFrame([("oil", "S0"), ("gold", "S1")], "series string, sector string")
+
+    def features_until(n):
+        known = spark.createDataFrame([p for p in points if p[0] <= days[n - 1]], "date date, series string, value double")
+        dates = spark.createDataFrame([(d,) for d in days[:n]], "date date")
+        return {(r.date, r.ticker, r.series): r.value for r in exogenous.external_features(known, dates, tickers, mapping, ExternalSettings(window=5, lag=3)).collect()}
+
+    full, early = features_until(80), features_until(50)
+    assert len(early) and any(early.values()) and all(full[k] == v for k, v in early.items())
+
+
 def test_ghosts_need_both_neighbours(spark):
     got = quality.ghost_rows(market(spark, {"AA": [100, 100, 200, 100, 100], "BB": [100, 100, 200, 200, 200], "CC": [200, 100, 100, 100, 50]})).collect()
     assert [(r.ticker, r.factor) for r in got] == [("AA", 2.0)]

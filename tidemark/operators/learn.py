@@ -1,18 +1,17 @@
-"""Learning sample, walk-forward validation with purge, and current probabilities (MLlib)."""
+"""Learning sample, walk-forward validation with purge, and current probabilities."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.panel import average_rank
 from tidemark.operators.features import FEATURES, forward_return, latest, rolling_features
+from tidemark.operators.logistic import fits, with_probability
 from tidemark.operators.ranking import weighted
+from tidemark.operators.settle import settled
 from tidemark.operators.stats import information_coefficients, mean_coefficient
 from tidemark.settings import FeatureSettings, LearningSettings, RankingSettings
 
@@ -55,71 +54,57 @@ def folds(df: DataFrame, k: int, horizon: int) -> DataFrame:
     return both.select("fold", "date", part.alias("part")).filter("part is not null")
 
 
-def fit(train: DataFrame, names: Sequence[str], penalty: float):
-    """A function that adds ``probability``; None when the labels are of one class.
-
-    Scales by the population deviation (1 for a constant column), then penalised logistic regression.
-    """
-    stats = train.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
-    if stats is None or stats["classes"] < 2:
-        return None
-
-    def scaled(df: DataFrame) -> DataFrame:
-        out = df.withColumns({f"_z_{c}": (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in names})
-        return VectorAssembler(inputCols=[f"_z_{c}" for c in names], outputCol="_v").transform(out)
-
-    model = LogisticRegression(featuresCol="_v", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", regParam=1 / (penalty * stats["n"]), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10).fit(scaled(train))
-
-    def apply(df: DataFrame) -> DataFrame:
-        return model.transform(scaled(df)).withColumn("probability", vector_to_array("_p")[1]).drop("_v", "_p", "_r", "_c", *[f"_z_{c}" for c in names])
-
-    return apply
-
-
 def walk_forward(df: DataFrame, settings: LearningSettings = LearningSettings(), weights: dict[str, float] | None = None, names: Sequence[str] = FEATURES) -> DataFrame | None:
     """Out-of-fold rows with probability, composite and fold; None where there is too little to learn from.
 
-    One distributed fit for each fold; their number is a setting.
+    All folds are fitted at once: a row trains in each fold that it precedes, at most ``folds`` times. The result is settled.
     """
-    df = df.persist()  # read again for every fold
-    if df.count() < settings.least_rows:
+    df = settled(df, "sample")
+    size = df.agg(F.count("*").alias("rows"), F.countDistinct("date").alias("dates")).first()
+    if size.rows < settings.least_rows or size.dates < settings.folds + 2:
+        return None
+    parts = settled(folds(df, settings.folds, settings.horizon), "folds")
+    # (session, fold) pairs: the calendar times the number of folds, whatever the number of tickers
+    dealt = df.join(F.broadcast(parts), "date")
+    fitted = fits(dealt.filter("part = 'train'").select("fold", "label", *names), "fold", names, settings.penalty)
+    if fitted is None:
         return None
-    parts = folds(df, settings.folds, settings.horizon).cache()
-    out = None
-    for k in range(1, settings.folds + 1):
-        days = lambda part: F.broadcast(parts.filter((F.col("fold") == k) & (F.col("part") == part)).select("date"))  # noqa: B023, E731
-        apply = fit(df.join(days("train"), "date", "left_semi"), names, settings.penalty)
-        if apply is not None:
-            one = apply(df.join(days("test"), "date", "left_semi")).withColumn("fold", F.lit(k))
-            out = one if out is None else out.unionByName(one)
-    return None if out is None else composite(out, weights or RankingSettings().weights)
+    tested = with_probability(dealt.filter("part = 'test'").drop("part"), fitted, "fold", names)
+    return settled(composite(tested, weights or RankingSettings().weights), "tested")
 
 
 def validation(rows: DataFrame, horizon: int) -> DataFrame:
-    """For each fold and pooled (fold null): coefficients of model and composite, and the share of right calls."""
-    hit = rows.withColumn("hit", ((F.col("probability") >= 0.5).cast("double") == F.col("label")).cast("double"))
-    out = None
-    for group in (["fold"], []):
-        one = None
-        for name in ("probability", "composite"):
-            ics = information_coefficients(rows, name, "forward", ["fold", "date"], 3)
-            mean = mean_coefficient(ics, horizon, group).select(*group, F.col("ic").alias(f"{name}_ic"), F.col("error").alias(f"{name}_error"), "sessions" if name == "probability" else F.lit(0).alias("_s"))
-            one = mean if one is None else (one.join(mean.drop("_s"), group) if group else one.crossJoin(mean.drop("_s")))
-        calls = hit.groupBy(*group).agg(F.avg("hit").alias("precision"))
-        one = one.join(calls, group) if group else one.crossJoin(calls).withColumn("fold", F.lit(None).cast("int"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
+    """For each fold and pooled (fold null): coefficients of model and composite, and the share of right calls.
 
-def probabilities(df: DataFrame, panel: DataFrame, features: FeatureSettings = FeatureSettings(), settings: LearningSettings = LearningSettings(), names: Sequence[str] = FEATURES) -> DataFrame | None:
-    """(ticker, probability) of the last session from a fit on the whole sample; highest first."""
-    apply = fit(df, names, settings.penalty)
-    if apply is None:
+    Coefficients are computed once by (score, fold, session) and pooled from there; calls are summed by fold first.
+    """
+    long = rows.unpivot(["fold", "date", "forward"], ["probability", "composite"], "score", "value")
+    pooled = F.explode(F.array("fold", F.lit(None).cast("int")))
+    ics = information_coefficients(long, "value", "forward", ["score", "fold", "date"], 3).select("score", pooled.alias("fold"), "ic")
+    means = mean_coefficient(ics, horizon, ["score", "fold"])
+    of = lambda name, c: F.max(F.when(F.col("score") == name, F.col(c)))
+    scores = means.groupBy("fold").agg(
+        of("probability", "ic").alias("probability_ic"), of("probability", "error").alias("probability_error"), of("probability", "sessions").alias("sessions"),
+        of("composite", "ic").alias("composite_ic"), of("composite", "error").alias("composite_error"),
+    )
+    right = ((F.col("probability") >= 0.5).cast("double") == F.col("label")).cast("long")
+    calls = rows.groupBy("fold").agg(F.sum(right).alias("_right"), F.count("label").alias("_all")).select(pooled.alias("fold"), "_right", "_all")
+    calls = calls.groupBy("fold").agg((F.sum("_right") / F.sum("_all")).alias("precision"))
+    return scores.alias("s").join(F.broadcast(calls).alias("c"), F.col("s.fold").eqNullSafe(F.col("c.fold"))).select("s.*", "c.precision")
+
+
+def probabilities(df: DataFrame, panel: DataFrame, features: FeatureSettings = FeatureSettings(), settings: LearningSettings = LearningSettings(), names: Sequence[str] = FEATURES, first: int | None = None) -> DataFrame | None:
+    """(date, ticker, probability) of the last session from a fit on the whole sample; highest first, the ``first`` of them or all."""
+    df = settled(df, "sample")
+    one = F.lit(0).alias("_fit")
+    fitted = fits(df.select(one, "label", *names), "_fit", names, settings.penalty)
+    if fitted is None:
         return None
     now = latest(rolling_features(panel, features)).dropna(subset=["momentum", "trend", "volatility"])
-    now = now.select("date", "ticker", *[F.coalesce(average_rank(F.col(k), "date"), F.lit(0.5)).alias(k) for k in FEATURES])
+    now = now.select(one, "date", "ticker", *[F.coalesce(average_rank(F.col(k), "date"), F.lit(0.5)).alias(k) for k in FEATURES])
     external = [c for c in names if c not in FEATURES]
     if external:
         last = latest(df).select("ticker", *external)
         now = now.join(last, "ticker", "left").fillna(0.0, external)
-    return apply(now).select("date", "ticker", "probability").orderBy(F.desc("probability"), "ticker")
+    out = with_probability(now, fitted, "_fit", names).select("date", "ticker", "probability").orderBy(F.desc("probability"), "ticker")
+    return out if first is None else out.limit(first)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.dividends import dated_yields
 from tidemark.operators.features import forward_return, predictors, with_log_return
+from tidemark.operators.settle import settled
 from tidemark.operators.stats import benjamini_hochberg, information_coefficients, mean_coefficient, mean_reversion, with_p_value
 from tidemark.settings import FeatureSettings, SweepSettings
 
@@ -35,7 +36,7 @@ def sweep_cells(panel: DataFrame, reference: DataFrame, settings: SweepSettings
 
 def sweep(panel: DataFrame, reference: DataFrame, settings: SweepSettings = SweepSettings(), scale: FeatureSettings = FeatureSettings()) -> DataFrame:
     """All cells with p-value and whether they are discoveries, largest |t| first."""
-    cells = with_p_value(sweep_cells(panel, reference, settings, scale))
+    cells = settled(with_p_value(sweep_cells(panel, reference, settings, scale)), "cells")  # the control reads them five times
     return benjamini_hochberg(cells, settings.discovery_rate).orderBy(F.desc_nulls_last(F.abs("t")), "segment", "predictor", "horizon")
 
 

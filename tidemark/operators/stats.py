@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.panel import average_rank, correlation
+from tidemark.functions.student import student_p
 
 #: Critical value of the Dickey-Fuller test with a constant, at 5 %.
 DICKEY_FULLER = -2.86
@@ -33,44 +31,8 @@ def mean_coefficient(ics: DataFrame, horizon: Column | int, group: Sequence[str]
     return out.withColumn("error", error).withColumn("t", F.col("ic") / F.col("error")).withColumn("significant", F.coalesce(F.abs("t") > 2, F.lit(False))).drop("_spread")
 
 
-def student_p(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t."""
-    if t is None or df is None or df <= 0 or math.isnan(t):
-        return math.nan
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return min(1.0, front * _fraction(a, b, x) / a)
-    return max(0.0, 1 - front * _fraction(b, a, 1 - x) / b)
-
-
-def _fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny, c = 1e-300, 1.0
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or tiny)
-    h = d
-    for m in range(1, 400):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1 / ((1 + term * d) or tiny)
-            c = (1 + term / c) or tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return h
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_values(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else student_p(float(a), float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
-
-
 def with_p_value(df: DataFrame, t: str = "t", freedom: Column | None = None) -> DataFrame:
-    return df.withColumn("p", _p_values(F.col(t), freedom if freedom is not None else (F.col("periods") - 1).cast("double")))
+    return df.withColumn("p", student_p(F.col(t), freedom if freedom is not None else F.col("periods") - 1))
 
 
 def benjamini_hochberg(df: DataFrame, rate: float = 0.10, p: str = "p") -> DataFrame:

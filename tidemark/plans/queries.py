@@ -503,16 +503,6 @@ def purged_folds(spark, d):
     return learn.folds(sample_of(spark, d), 4, 8)
 
 
-@query()
-def walk_forward_validation(spark, d):
-    return learn.validation(learn.walk_forward(sample_of(spark, d), LEARNING), 8)
-
-
-@query()
-def current_probabilities(spark, d):
-    return learn.probabilities(sample_of(spark, d), panel_of(spark, d), FEATURES, LEARNING)
-
-
 SWEPT = f"""{PREDICTORS}, {cte("reference")},
 lp AS (SELECT date, ticker, h4, h8, unnest([{", ".join(f"'{p}'" for p in PREDICTOR_SQL)}]) AS predictor, unnest([{", ".join(PREDICTOR_SQL)}]) AS value FROM pd),
 hp AS (SELECT date, ticker, predictor, value, unnest([4, 8]) AS horizon, unnest([h4, h8]) AS forward FROM lp),
@@ -525,11 +515,6 @@ def predictor_sweep(spark, d):
     return shown_mean(research.sweep_cells(panel_of(spark, d), load(spark, d, "reference"), SWEEP, FEATURES))
 
 
-@query()
-def sweep_discoveries(spark, d):
-    return research.sweep(panel_of(spark, d), load(spark, d, "reference"), SWEEP, FEATURES)
-
-
 @query(f"""WITH {cte("quotes")}, pv AS (SELECT ticker, date, round(1 / (1 + volume_shares), 6) AS p FROM quotes), rk AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM pv), bd AS (SELECT max(p) AS b FROM rk WHERE p <= 0.6 * r / m)
 SELECT ticker, CAST(date AS VARCHAR) AS date, p, coalesce(p <= (SELECT b FROM bd), false) AS discovered FROM pv""")
 def false_discovery_control(spark, d):
