@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import names
-from tidemark.sources import archive, pages
+from tidemark.sources import archive, pages, versions
 
 
 def one(spark, value, build):
@@ -38,7 +38,7 @@ def test_upsert_replaces_by_key_last_wins_and_log_appends(spark, tmp_path):
     new = spark.createDataFrame([(day, "AA", 5.125, 1), (day, "AA", 6.125, 2), (day, "CC", float("nan"), 1)], kind)
     got = archive.upsert(old, new, "quotes", "n")
     assert sorted((r.ticker, r.close) for r in got.collect()) == [("AA", 6.12), ("BB", 2.0)]
-    path = archive.write_version(got, str(tmp_path))
+    got.write.parquet(path := str(tmp_path / "one"))
     assert archive.read(spark, "quotes", path).count() == 2
     assert archive.export_csv(got, "quotes", str(tmp_path / "csv")) == 2
     assert archive.read_csv(spark, "quotes", str(tmp_path / "none")).count() == 0
@@ -96,20 +96,91 @@ def test_stream_merges_by_key_and_month(spark, tmp_path):
     kind = "date date, ticker string, close double"
     arrive = lambda *rows: archive.conform(spark.createDataFrame(list(rows), kind), "quotes").write.mode("append").parquet(land)
     merge = lambda where=state: ingest.merge_batches(ingest.quote_stream(spark, land), root, where).awaitTermination()
-    shown = lambda before=None: sorted((r.month, r.ticker, r.close) for r in ingest.merged_quotes(spark, root, before).collect())
+    shown = lambda version=None: sorted((str(r.date)[:7], r.ticker, r.close) for r in ingest.merged_quotes(spark, root, version).collect())
     arrive((january, "AA", 1.0), (march, "AA", 5.0), (None, "CC", 9.0))
     merge()
     arrive((january, "AA", 3.0), (january, "BB", 2.0))
     merge()
     assert shown() == [("2024-01", "AA", 3.0), ("2024-01", "BB", 2.0), ("2024-03", "AA", 5.0)]
     assert shown(1) == [("2024-01", "AA", 1.0), ("2024-03", "AA", 5.0)]
-    written = {str(p.parent.relative_to(root)) for p in (tmp_path / "table").rglob("*.parquet")}
-    assert written == {"month=2024-01/batch=0", "month=2024-01/batch=1", "month=2024-03/batch=0"}  # March is not rewritten
+    folders = lambda version: {p["part"]: p["path"] for p in versions.manifest(spark, root, version)["parts"]}
+    assert folders(1)["2024-03"] == folders(2)["2024-03"] and folders(1)["2024-01"] != folders(2)["2024-01"]  # March is not rewritten
     arrive((march, "AA", 6.0))
     merge()
     assert shown() == [("2024-01", "AA", 3.0), ("2024-01", "BB", 2.0), ("2024-03", "AA", 6.0)]
 
 
+def test_batches_run_twice_count_once_and_files_stay_bounded(spark, tmp_path):
+    from tidemark.streaming import ingest
+
+    land, root = str(tmp_path / "land"), str(tmp_path / "table")
+    for i in range(8):
+        rows = [(datetime.date(2024, 1, 2 + i), "AA", float(i)), (datetime.date(2024, 1, 1), "BB", float(i))]
+        archive.conform(spark.createDataFrame(rows, "date date, ticker string, close double"), "quotes").coalesce(1).write.mode("append").parquet(land)
+        ingest.merge_batches(ingest.quote_stream(spark, land), root, str(tmp_path / "state"), keep=2, least_age=0.0).awaitTermination()
+    before = versions.manifest(spark, root)
+    ingest.merge_batches(ingest.quote_stream(spark, land), root, str(tmp_path / "again")).awaitTermination()  # a lost checkpoint starts at batch 0
+    assert versions.manifest(spark, root) == before and before["batch"] == 7
+    got = {(r.date.day, r.ticker): r.close for r in ingest.merged_quotes(spark, root).collect()}
+    assert got == {(1, "BB"): 7.0, **{(2 + i, "AA"): float(i) for i in range(8)}}
+    assert len(list((tmp_path / "table").rglob("*.parquet"))) <= 3 and len(versions.numbers(spark, root)) == 2
+
+
+def quote_rows(spark, *rows):
+    return archive.conform(spark.createDataFrame([(datetime.date(*d), t, c) for d, t, c in rows], "date date, ticker string, close double"), "quotes")
+
+
+def closes(spark, root, version=None):
+    return sorted((str(r.date), r.ticker, r.close) for r in versions.read(spark, root, "quotes", version).collect())
+
+
+def test_a_writer_that_dies_before_its_commit_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    assert versions.read(spark, root, "quotes").count() == 0 and versions.history(spark, root).count() == 0
+    versions.upsert(root, "quotes", quote_rows(spark, ((2024, 1, 2), "AA", 1.0), ((2024, 2, 2), "AA", 2.0)), "date")
+    old = closes(spark, root)
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+        patch.setattr(versions, "_commit", dies)
+        versions.upsert(root, "quotes", quote_rows(spark, ((2024, 1, 2), "AA", 9.0)), "date")
+    assert closes(spark, root) == old and len(list((tmp_path / "t" / "data").iterdir())) == 2
+    assert versions.expire(spark, root, least_age=3600.0) == 0  # a young folder may belong to a writer
+    assert versions.expire(spark, root, least_age=-1.0) == 1 and closes(spark, root) == old
+
+
+def test_the_second_of_two_writers_is_refused(spark, tmp_path):
+    root = str(tmp_path / "t")
+    base = versions.manifest(spark, root)
+    assert versions.upsert(root, "quotes", quote_rows(spark, ((2024, 1, 2), "AA", 1.0)), "date", base=base) == 1
+    with pytest.raises(versions.ConflictError):
+        versions.upsert(root, "quotes", quote_rows(spark, ((2024, 1, 2), "BB", 2.0)), "date", base=base)
+    assert closes(spark, root) == [("2024-01-02", "AA", 1.0)] and list((tmp_path / "t" / "drafts").glob("*.json")) == []
+    assert versions.upsert(root, "quotes", quote_rows(spark, ((2024, 1, 2), "BB", 2.0)), "date") == 2
+    assert len(closes(spark, root)) == 2
+
+
+def test_versions_delete_compact_and_expire(spark, tmp_path):
+    root = str(tmp_path / "t")
+    versions.upsert(root, "quotes", quote_rows(spark, ((2024, 1, 2), "AA", 1.0), ((2024, 2, 2), "AA", 2.0), ((2024, 2, 2), "BB", 2.5)), "date")
+    versions.delete(root, "quotes", quote_rows(spark, ((2024, 1, 2), "AA", 0.0), ((2024, 2, 2), "BB", 0.0), ((2030, 1, 1), "ZZ", 0.0)))
+    assert closes(spark, root) == [("2024-02-02", "AA", 2.0)] and len(closes(spark, root, 1)) == 3
+    assert [(r.version, r.parts, r.rows) for r in versions.history(spark, root).collect()] == [(1, 2, 3), (2, 1, 1)]
+    log = str(tmp_path / "log")
+    for i in range(7):
+        versions.upsert(log, "ingest_log", archive.log_rows(spark.range(i), f"s{i}", "2024-01-02 10:00:00", "m"))
+    assert len(versions.manifest(spark, log)["parts"]) == 7
+    assert versions.compact(spark, log, "ingest_log") == 8 and versions.compact(spark, log, "ingest_log") is None
+    assert len(versions.manifest(spark, log)["parts"]) == 1
+    assert versions.expire(spark, log, keep=1, least_age=-1.0) == 7
+    assert sorted(r.rows for r in versions.read(spark, log, "ingest_log").collect()) == list(range(7))
+    assert len(list((tmp_path / "log").rglob("*.parquet"))) == 1
+    versions.upsert(str(tmp_path / "ref"), "reference", archive.conform(spark.createDataFrame([("AA", "A", 1)], "ticker string, name string, n int"), "reference").withColumn("n", F.lit(1)), "n")
+    assert [p["part"] for p in versions.manifest(spark, str(tmp_path / "ref"))["parts"]] == ["all"]
+
+
 def test_weekly_turnover_adds_a_week(spark, tmp_path):
     from tidemark.streaming import ingest
 

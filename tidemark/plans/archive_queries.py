@@ -35,10 +35,10 @@ def archive_round_trip(spark, d):
     return archive.read_csv(spark, "fundamentals", path).withColumn("written", F.lit(written).cast("long"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS rows, CAST(4 AS BIGINT) AS columns")
+@query(f"{FUNDAMENTALS} SELECT ticker, CAST(date AS VARCHAR) AS date, indicator, round(value, 6) AS value FROM one")
 def absent_archive(spark, d):
-    rows = archive.read_csv(spark, "fundamentals", f"{d}/there-is-no-such-archive")
-    return rows.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(rows.columns)))
+    """An archive that is not there counts as empty and changes nothing."""
+    return archive.import_csv(archive.conform(fundamentals_of(spark, d), "fundamentals"), "fundamentals", f"{d}/there-is-no-such-archive")
 
 
 @query(f"{FUNDAMENTALS} SELECT ticker, CAST(date AS VARCHAR) AS date, indicator, round(value, 6) AS value FROM one UNION ALL SELECT concat('X', ticker), CAST(date AS VARCHAR), indicator, -1 FROM one WHERE year(date) % 2 = 1")
@@ -72,12 +72,9 @@ def external_csv(spark, d):
 @query(f"WITH {cte('quotes')} SELECT ticker AS source, count(*) AS rows, concat('ingested ', ticker, repeat('.', 491 - length(ticker))) AS message FROM quotes GROUP BY 1")
 def ingest_log(spark, d):
     """One row for each source; messages are cut at 500 characters."""
-    known = quotes_of(spark, d)
-    out = archive.empty(spark, "ingest_log")
-    for name in sorted(r[0] for r in load(spark, d, "reference").select("ticker").collect()):  # the sources of one run
-        row = archive.log_rows(known.filter(F.col("ticker") == name), name, "2024-01-02 18:00:00", f"ingested {name}" + "." * 600)
-        out = archive.upsert(out, row, "ingest_log")
-    return out.filter("rows > 0").select("source", "rows", "message")
+    runs = archive.log_by_source(quotes_of(spark, d), "ticker", "2024-01-02 18:00:00", "." * 600)
+    named = runs.withColumn("message", F.substring(F.concat(F.lit("ingested "), "source", "message"), 1, 500))
+    return archive.upsert(archive.empty(spark, "ingest_log"), named, "ingest_log").select("source", "rows", "message")
 
 
 @query(f"WITH {cte('quotes')}, m AS (SELECT max(date) AS m FROM quotes) SELECT CAST(date AS VARCHAR) AS date, ticker, CASE WHEN date = m THEN floor(close) * 2 ELSE floor(close) END AS close FROM quotes, m UNION ALL SELECT CAST(m + 1 AS VARCHAR), ticker, floor(close) * 2 FROM quotes, m WHERE date = m", digits=2)

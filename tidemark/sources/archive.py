@@ -1,13 +1,7 @@
-"""The declared tables on disk: read, conform, upsert by key, delete, export, log.
-
-A write makes a new version next to the old one and returns its path, so nothing is overwritten while it is
-read; readers take the version they are given.
-"""
+"""The declared tables: read, conform, upsert by key, delete, export, log. Written versions are in :mod:`tidemark.sources.versions`."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,14 +85,6 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: tuple[str, ...]) -> DataFra
     return df.join(keys.select(*key).distinct(), list(key), "left_anti")
 
 
-def write_version(df: DataFrame, root: str, partition: str | None = None) -> str:
-    """Writes a new version below ``root`` and returns its path."""
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    writer = df.write if partition is None else df.repartition(partition).write.partitionBy(partition)
-    writer.parquet(path)
-    return path
-
-
 def import_csv(old: DataFrame, table: str, path: str) -> DataFrame:
     """The table after a CSV archive was merged into it by key; a key is in an archive once."""
     return upsert(old, read_csv(old.sparkSession, table, path), table, KEYS[table][0] if KEYS[table] else None)
@@ -132,4 +118,10 @@ def log_rows(df: DataFrame, source: str, at, message) -> DataFrame:
     return one.select(F.lit(at).cast("timestamp").alias("at"), F.lit(source).alias("source"), "rows", F.substring(F.lit(message), 1, 500).alias("message"))
 
 
+def log_by_source(df: DataFrame, source: str, at, message: str) -> DataFrame:
+    """One log row for each value of the column ``source``, from one aggregation; messages are cut at 500 characters."""
+    counted = df.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("rows"))
+    return counted.select(F.lit(at).cast("timestamp").alias("at"), "source", "rows", F.substring(F.lit(message), 1, 500).alias("message"))
+
+
 DECLARED = tuple(SCHEMAS)

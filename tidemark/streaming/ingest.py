@@ -1,18 +1,17 @@
-"""Quotes that arrive as files: every micro-batch is merged by key into the months that it touches.
+"""Quotes that arrive as files: every micro-batch is a commit that merges its rows by key into the months they touch.
 
-The table is a folder with the partitions ``month`` and ``batch``. A batch writes the months of its rows anew under its
-own number and leaves all others; of a month the largest batch number counts. Nothing is overwritten while it is
-read, and a batch that runs again replaces only what it wrote itself.
+The table is a versioned one (see :mod:`tidemark.sources.versions`): a reader keeps the version it read, a batch that
+dies before its commit leaves no trace in it, and one that runs again after its commit is passed over, as each
+manifest holds the number of the last batch merged. Old versions are dropped as the stream goes on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.schemas import schema
-from tidemark.sources import archive
+from tidemark.sources import versions
 
 
 def quote_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,34 +20,26 @@ def quote_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("*", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path")).alias("_landed"))
 
 
-def merged_quotes(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The merged table with its ``month``, as it was before the batch ``before``; by default as it is now.
-
-    A reader of the present names the batch after the last finished one where another batch may be under way.
-    """
-    kind = T.StructType([*schema("quotes").fields, T.StructField("month", T.StringType()), T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(kind).parquet(root)
-    rows = rows if before is None else rows.filter(F.col("batch") < before)
-    newest = rows.groupBy("month").agg(F.max("batch").alias("batch"))  # reads partition values only; a row for each month
-    return rows.join(F.broadcast(newest), ["month", "batch"], "left_semi").drop("batch")
+def merged_quotes(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The merged table as of a version, by default the last."""
+    return versions.read(spark, root, "quotes", version)
 
 
-def merge_batches(stream: DataFrame, root: str, checkpoint: str):
+def merge_batches(stream: DataFrame, root: str, checkpoint: str, keep: int = 20, least_age: float = 7 * 86400.0):
     """Starts a query that upserts every batch; of several rows of a key the one that landed last counts.
 
-    Rows that lack a required column are rejected. ``root`` and ``checkpoint`` belong together: batch numbers come from the latter.
+    Rows that lack a required column are rejected. ``root`` and ``checkpoint`` belong together: batch numbers come from the
+    latter. Every ``keep`` batches the versions before the last ``keep`` are dropped, with data folders ``least_age`` seconds old.
     """
-    month = F.date_format("date", "yyyy-MM")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = archive.empty(spark, "quotes")
-        if number:
-            touched = batch.select(month.alias("month")).distinct()
-            old = merged_quotes(spark, root, number).join(F.broadcast(touched), "month", "left_semi").drop("month")  # prunes partitions
-        rows = archive.upsert(old, batch, "quotes", "_landed").withColumn("month", month).withColumn("batch", F.lit(number).cast("long"))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("month", "batch").parquet(root)
+        base = versions.manifest(spark, root)
+        if base["batch"] is not None and base["batch"] >= number:
+            return
+        versions.upsert(root, "quotes", batch.filter("date is not null"), "_landed", f"batch {number}", number, base)
+        if number % keep == keep - 1:
+            versions.expire(spark, root, keep, least_age)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
