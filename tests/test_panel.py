@@ -48,6 +48,20 @@ def test_dense_panel_keeps_holes_and_strict_windows_are_null_over_them(spark):
     assert got["BB", 2].liquidity == pytest.approx(5e6)  # two trades and one nought
 
 
+def test_features_by_blocks_equal_those_over_whole_histories(spark):
+    rows = panel.dense(market(spark, {t: [v if (i * 7 + j) % 11 else None for i, v in enumerate(values)] for j, (t, values) in enumerate(walks(4, 90, ["AA", "BB", "CC"]).items())}))
+    numbers = panel.session_numbers(rows)
+    shown = lambda df: sorted(str((r.date, r.ticker, r.close, r.momentum, r.trend, r.volatility, r.liquidity)) for r in df.collect())
+    whole = shown(features.rolling_features(rows, SMALL))
+    for size in (1, 4, 17, 500):
+        assert shown(features.blocked_features(rows, numbers, SMALL, size)) == whole
+    ahead = lambda df: df.withColumn("forward", features.forward_return(6))
+    both = [sorted(str((r.date, r.ticker, r.forward)) for r in df.collect()) for df in (ahead(rows), features.in_blocks(rows, numbers, ahead, 10, 0, 6))]
+    assert both[0] == both[1]
+    blocks = features.in_blocks(rows, numbers, lambda df: df.withColumn("_size", F.count("*").over(features.by_ticker().rowsBetween(-1000, 1000))), 10, 5).agg(F.max("_size")).first()[0]
+    assert blocks == 15  # a window never sees more than a block and its look-back
+
+
 def test_average_rank_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, 1.0), (1, None)], "d int, x double")
     got = sorted((r.x is None, r.x or 0, r.r) for r in df.select("x", average_rank(F.col("x"), "d").alias("r")).collect())

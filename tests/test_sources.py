@@ -181,6 +181,39 @@ def test_versions_delete_compact_and_expire(spark, tmp_path):
     assert [p["part"] for p in versions.manifest(spark, str(tmp_path / "ref"))["parts"]] == ["all"]
 
 
+def test_refreshed_features_equal_those_made_anew(spark, tmp_path):
+    """Ten random revisions: rows changed, added (new tickers and sessions too) and deleted; only their look-back is read."""
+    import random
+
+    from tidemark.operators.features import rolling_features
+    from tidemark.operators.panel import dense
+    from tidemark.settings import FeatureSettings
+    from tidemark.sources import refresh
+
+    settings, draw = FeatureSettings(momentum=9, skip=1, volatility=4, liquidity=5, short_mean=2, long_mean=6), random.Random(6)
+    quotes, kept = str(tmp_path / "quotes"), str(tmp_path / "features")
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    kind = "date date, ticker string, close double, volume_value double"
+    rows = lambda places: archive.conform(spark.createDataFrame([(day(n), t, float(draw.randint(50, 150)), float(draw.randint(0, 9))) for n, t in places], kind), "quotes")
+    versions.upsert(quotes, "quotes", rows({(draw.randrange(0, 700, 2), draw.choice("ABCD")) for _ in range(900)}), "date")
+    assert refresh.refresh(spark, quotes, kept, settings)[0] == {p["part"] for p in versions.manifest(spark, quotes)["parts"]}
+    for step in range(5):
+        at = draw.randrange(650)
+        places = {(at + draw.randrange(20), draw.choice("ABCDE")) for _ in range(12)}
+        if step % 2:
+            versions.delete(quotes, "quotes", rows(places))
+        else:
+            versions.upsert(quotes, "quotes", rows(places), "date")
+        written, read = refresh.refresh(spark, quotes, kept, settings)
+        assert written <= read and len(read) <= 7  # two months, and a month at each side for nine sessions of about 25 a month
+        names = versions.DERIVED["features"].names
+        anew = rolling_features(dense(versions.read(spark, quotes, "quotes")), settings).filter("close is not null").select(*names)
+        assert sorted(map(str, versions.read(spark, kept, "features").collect())) == sorted(map(str, anew.collect()))
+        files = versions.read_parts(spark, quotes, "quotes", read).inputFiles()
+        assert {f.split("part=")[1][:7] for f in files} <= read
+    assert refresh.refresh(spark, quotes, kept, settings) == (set(), set())
+
+
 def test_weekly_turnover_adds_a_week(spark, tmp_path):
     from tidemark.streaming import ingest
 

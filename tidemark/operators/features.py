@@ -62,6 +62,26 @@ def rolling_features(panel: DataFrame, settings: FeatureSettings = FeatureSettin
     }).drop("log_return")
 
 
+def in_blocks(panel: DataFrame, sessions: DataFrame, build: Callable[[DataFrame], DataFrame], size: int, back: int, ahead: int = 0) -> DataFrame:
+    """``build`` over blocks of ``size`` sessions of each ticker instead of its whole history.
+
+    A block also gets the ``back`` sessions before it and the ``ahead`` after it, so any column that looks no further is the
+    same as over the whole history; a task then holds blocks, not tickers. ``sessions`` is (date, n), the market's calendar: one row a
+    session, broadcast. Rows move (size + back + ahead) / size times. ``build`` sees a ticker of its own for each block.
+    """
+    n = F.col("_n")
+    rows = panel.join(F.broadcast(sessions.select("date", F.col("n").alias("_n"))), "date")
+    blocks = F.sequence(F.greatest(F.floor((n - ahead) / size), F.lit(0)), F.floor((n + back) / size))
+    rows = rows.withColumn("_block", F.explode(blocks)).withColumn("ticker", F.struct("ticker", "_block"))
+    own = build(rows).filter(F.floor(n / size) == F.col("_block"))
+    return own.withColumn("ticker", F.col("ticker.ticker")).drop("_n", "_block")
+
+
+def blocked_features(panel: DataFrame, sessions: DataFrame, settings: FeatureSettings = FeatureSettings(), size: int = 1000) -> DataFrame:
+    """:func:`rolling_features` of long histories, by blocks of sessions."""
+    return in_blocks(panel, sessions, lambda rows: rolling_features(rows, settings), size, settings.look_back)
+
+
 def predictors(scale: FeatureSettings = FeatureSettings()) -> dict[str, Callable[[], Column]]:
     """Registry of predictor columns for the sweep; callers may add their own."""
     half = scale.momentum // 2

@@ -1,4 +1,4 @@
-"""Queries over versioned tables: what readers see after upserts, deletes, removed suspects, appends, compaction and a stream."""
+"""Queries over versioned tables: what readers see after upserts, deletes, removed suspects, appends, compaction and a stream; features kept beside them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import features, panel, quality
 from tidemark.operators.settle import shared_folder
-from tidemark.plans.fixtures import cte
-from tidemark.plans.queries import GHOSTS, query, quotes_of
-from tidemark.sources import archive, versions
+from tidemark.plans.fixtures import FEATURES, cte
+from tidemark.plans.queries import FEATS, GHOSTS, panel_of, query, quotes_of
+from tidemark.sources import archive, refresh, versions
 from tidemark.streaming import ingest
 
 #: Closes in whole numbers, as the archive rounds prices to two decimals.
@@ -76,3 +76,36 @@ def streamed_quotes(spark, d):
         part.write.mode("append").parquet(f"{root}/landed")
         ingest.merge_batches(ingest.quote_stream(spark, f"{root}/landed"), f"{root}/table", f"{root}/state").awaitTermination()
     return ingest.merged_quotes(spark, f"{root}/table").select("date", "ticker", "close", F.date_format("date", "yyyy-MM").alias("month"))
+
+REVISED = FEATS.replace(
+    cte("quotes"),
+    cte("quotes").replace("quotes AS", "raw AS", 1)
+    + """,
+quotes AS (SELECT date, ticker, low, high, floor(close) + CASE WHEN strftime(date, '%Y-%m') = '1998-03' THEN 5 ELSE 0 END AS close, volume_shares, round(volume_value, 2) AS volume_value FROM raw WHERE NOT (strftime(date, '%Y-%m') = '2000-01' AND ticker < 'Brand#2'))""",
+    1,
+)
+
+
+def refreshed(spark, d) -> tuple[str, set[str], set[str]]:
+    """The root of features that were brought up to date after a corrected month and deleted keys; months written and read by the last refresh."""
+    quotes, kept = new_root(spark), new_root(spark)
+    rows = quotes_of(spark, d).withColumn("close", F.floor("close").cast("double"))
+    versions.upsert(quotes, "quotes", rows, "date")
+    refresh.refresh(spark, quotes, kept, FEATURES)
+    month = F.date_format("date", "yyyy-MM")
+    versions.upsert(quotes, "quotes", rows.filter(month == "1998-03").withColumn("close", F.col("close") + 5), "date")
+    versions.delete(quotes, "quotes", rows.filter((month == "2000-01") & (F.col("ticker") < "Brand#2")))
+    return kept, *refresh.refresh(spark, quotes, kept, FEATURES)
+
+
+@query(f"WITH {REVISED} SELECT CAST(date AS VARCHAR) AS date, ticker, close, round(momentum, 6) AS momentum, round(trend, 6) AS trend, round(volatility, 6) AS volatility, round(liquidity, 6) AS liquidity FROM feats WHERE close IS NOT NULL")
+def refreshed_features(spark, d):
+    """Kept features after two commits to their quotes equal features computed anew."""
+    return versions.read(spark, refreshed(spark, d)[0], "features")
+
+
+@query(f"WITH {FEATS} SELECT CAST(date AS VARCHAR) AS date, ticker, round(momentum, 6) AS momentum, round(trend, 6) AS trend, round(volatility, 6) AS volatility, round(liquidity, 6) AS liquidity FROM feats")
+def rolling_features_in_blocks(spark, d):
+    """The rolling features by blocks of 60 sessions with their look-back, equal to those over whole histories."""
+    rows = panel_of(spark, d)
+    return features.blocked_features(rows, panel.session_numbers(rows), FEATURES, 60).select("date", "ticker", "momentum", "trend", "volatility", "liquidity")

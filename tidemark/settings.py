@@ -20,6 +20,11 @@ class FeatureSettings:
         """Sessions before the first ranking."""
         return self.momentum + 1
 
+    @property
+    def look_back(self) -> int:
+        """Earlier sessions that a row's features depend on; a return needs one more than its window."""
+        return max(self.momentum, self.volatility, self.liquidity - 1, self.short_mean - 1, self.long_mean - 1)
+
 
 @dataclass(frozen=True)
 class RankingSettings:

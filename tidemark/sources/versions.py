@@ -26,8 +26,10 @@ from tidemark.schemas import KEYS, schema
 from tidemark.sources import archive
 
 #: The column whose month (or year) names the part of a row.
-BY_MONTH = {"quotes": "date", "external": "date", "ingest_log": "at"}
+BY_MONTH = {"quotes": "date", "external": "date", "ingest_log": "at", "features": "date"}
 BY_YEAR = {"dividends": "ex_date", "fundamentals": "date"}
+#: Tables derived from declared ones, which are kept as versions too.
+DERIVED = {"features": T.StructType([T.StructField("date", T.DateType()), T.StructField("ticker", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("close", "momentum", "trend", "volatility", "liquidity")]])}
 ROWS_A_FILE = 20_000_000
 
 
@@ -43,6 +45,10 @@ def part_of(table: str) -> Column:
     return F.lit("all")
 
 
+def _kind(table: str) -> T.StructType:
+    return DERIVED[table] if table in DERIVED else schema(table)
+
+
 def _path(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -96,15 +102,16 @@ def _write(rows: DataFrame, root: str, table: str) -> list[dict]:
     out = rows.withColumn("part", part_of(table)).hint("rebalance", "part")
     out.write.option("maxRecordsPerFile", ROWS_A_FILE).partitionBy("part").parquet(f"{root}/{folder}")
     spark = rows.sparkSession
-    kind = T.StructType([*schema(table).fields, T.StructField("part", T.StringType())])
-    counts = spark.read.schema(kind).parquet(f"{root}/{folder}").groupBy("part").agg(F.count("*").alias("rows")).collect()  # one a part
-    return [{"part": r.part, "path": f"{folder}/part={r.part}", "rows": r.rows} for r in counts]
+    kind = T.StructType([*_kind(table).fields, T.StructField("part", T.StringType())])
+    sessions = F.countDistinct("date") if "date" in kind.names else F.lit(0)
+    counts = spark.read.schema(kind).parquet(f"{root}/{folder}").groupBy("part").agg(F.count("*").alias("rows"), sessions.alias("sessions")).collect()  # one a part
+    return [{"part": r.part, "path": f"{folder}/part={r.part}", "rows": r.rows, "sessions": r.sessions} for r in counts]
 
 
 def _rows(spark: SparkSession, root: str, table: str, parts: list[dict]) -> DataFrame:
     if not parts:
-        return archive.empty(spark, table)
-    return spark.read.schema(schema(table)).parquet(*[f"{root}/{p['path']}" for p in parts])
+        return spark.createDataFrame([], _kind(table))
+    return spark.read.schema(_kind(table)).parquet(*[f"{root}/{p['path']}" for p in parts])
 
 
 def read(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
@@ -173,6 +180,18 @@ def expire(spark: SparkSession, root: str, keep: int = 10, least_age: float = 7
     return removed
 
 
+def read_parts(spark: SparkSession, root: str, table: str, names: set[str], version: int | None = None) -> DataFrame:
+    """The rows of some parts of a version; the folders of others are not listed or read."""
+    return _rows(spark, root, table, [p for p in manifest(spark, root, version)["parts"] if p["part"] in names])
+
+
+def replace_parts(root: str, table: str, rows: DataFrame, names: set[str], note: str, batch: int | None = None) -> int:
+    """A version in which ``rows`` are all that the parts ``names`` hold; other parts stay."""
+    base = manifest(rows.sparkSession, root)
+    written = _write(rows.filter(part_of(table).isin(*names)) if names else rows, root, table)
+    return _commit(rows.sparkSession, root, base, [p for p in base["parts"] if p["part"] not in names] + written, note, batch)
+
+
 def history(spark: SparkSession, root: str) -> DataFrame:
     """(version, note, parts, folders, rows) of every kept version, the latest last."""
     kind = "version long, note string, batch long, parts array<struct<part:string,path:string,rows:long>>"
