@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import names
+from tidemark.operators import names, quality
 from tidemark.sources import archive, pages, versions
 
 
@@ -73,12 +73,53 @@ def test_payloads_tranches_symbols_and_links(spark):
     assert [(r["to"] - r["from"]).days for r in parts] == [88, 31]
     with pytest.raises(Exception, match="reversed"):
         pages.tranches(spark.createDataFrame([(datetime.date(2024, 2, 1), datetime.date(2024, 1, 1))], "start date, end date")).collect()
-    known = pages.symbols(spark.createDataFrame([("SNTS.sn INDEX10.ci ABC",)], "menu string"), "ci", "index")
+    known = pages.symbols(spark.createDataFrame([("SNTS.sn INDEX10.ci ABC",)], "menu string"), "ci", ("index",))
     assert [r.symbol for r in pages.with_symbol(spark.createDataFrame([("SNTS",), ("ABJC",)], "ticker string"), known, "ci").orderBy("ticker").collect()] == ["ABJC.ci", "SNTS.sn"]
     html = "<table><tr><td>a</td><td>b</td><td>c</td><td><a href='x.pdf'>d</a></td></tr><tr><td>a</td></tr></table>"
     assert [(r.text, r.hrefs) for r in pages.linked_rows(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()] == [("a b c d", ["x.pdf"])]
 
 
+def test_menus_refuse_and_keep_the_last_entry(spark):
+    menu = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "page_id long, menu string")
+    got = pages.symbols(menu("SNTS.ci BRVM10.ci HOUSEX.bj SNTS.sn", "abj.ml SNTS.bf"), "ci", ("brvm", "house")).collect()
+    assert sorted((r.ticker, r.country, r.symbol) for r in got) == [("ABJ", "ml", "ABJ.ml"), ("SNTS", "bf", "SNTS.bf")]
+    for text, said in ((None, "no menu"), ("", "no share"), ("BRVM10.ci none", "no share")):
+        with pytest.raises(Exception, match=said):
+            pages.symbols(menu(text), "ci", ("brvm",)).collect()
+
+
+def test_a_page_without_history_is_refused(spark):
+    html = "<table><tr><th>Date</th><th>Clôture</th></tr><tr><td>05/01/2024</td><td>1,5</td></tr></table>"
+    other = "<table><tr><th>Menu</th></tr><tr><td>x</td></tr></table>"
+    read = lambda *rows: pages.html_tables(spark.createDataFrame(list(rows), "page_id long, html string"))
+    assert pages.history_tables(read((1, html)), F.lit("AA")).count() == 1
+    with pytest.raises(Exception, match="no table with a date and a close on page 2"):
+        pages.history_tables(read((1, html), (2, other)), F.lit("AA")).collect()
+    landed = spark.createDataFrame([(1, html), (3, "<p>nothing</p>")], "page_id long, html string")
+    with pytest.raises(Exception, match="page 3"):
+        pages.history_tables(pages.html_tables(landed), F.lit("AA"), landed).collect()
+
+
+def test_a_witness_that_cannot_decide_says_so(spark):
+    day = datetime.date(2024, 1, 2)
+    later = datetime.date(2024, 1, 3)
+    known = spark.createDataFrame([(d, t, 100.0, 5000.0) for d in (day, later) for t in "ABCD"], "date date, ticker string, shares double, value double")
+    seen = spark.createDataFrame([(day, "A", 100.4), (later, "A", 99.7), (day, "B", 5000.0), (later, "B", 100.0), (day, "C", 42.0), (day, "D", 5000.2), (day, "E", 1.0)], "date date, ticker string, volume double")
+    got = {r.source: (r.unit, r.compared) for r in quality.witness_verdict(seen, known).collect()}
+    assert got == {"A": ("shares", 2), "B": ("undecided", 2), "C": ("undecided", 1), "D": ("value", 1), "E": ("unavailable", 0)}
+
+
+def test_companies_that_begin_alike_make_no_hot_key(spark):
+    known = spark.range(100_000).select(F.concat(F.lit("T"), "id").alias("ticker"), F.concat(F.lit("Banque nationale numero "), "id", F.lit(" du nord")).alias("name"))
+    alias = spark.createDataFrame([], "alias string, ticker string")
+    asked = spark.createDataFrame([(n,) for n in ("banque", "Banque nationale", "banque nationale numero 77 du", "banque nationale numero 8", "Banque nationale numero 99999 du nord et du sud", "ban", None)], "name string")
+    got, rest = names.reconcile(asked, known, alias)
+    assert {r.name: (r.ticker, r.rule) for r in got.collect()} == {"banque nationale numero 77 du": ("T77", 5), "Banque nationale numero 99999 du nord et du sud": ("T99999", 5)}
+    assert {r.name for r in rest.collect()} == {"banque", "Banque nationale", "banque nationale numero 8", "ban", None}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
 def test_ambiguous_names_are_refused(spark):
     known = spark.createDataFrame([("AAAA", "Banque du Nord Sénégal"), ("BBBB", "Banque du Nord Mali"), ("CCCC", "Huilerie")], "ticker string, name string")
     alias = spark.createDataFrame([("Old Oil", "CCCC"), ("Gone", "ZZZZ")], "alias string, ticker string")

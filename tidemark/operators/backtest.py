@@ -37,13 +37,15 @@ def schedule(numbers: DataFrame, needed: int, settings: BacktestSettings) -> Dat
 
 def journal(
     quotes: DataFrame, reference: DataFrame, settings: BacktestSettings = BacktestSettings(), features: FeatureSettings = FeatureSettings(),
-    ranks: RankingSettings = RankingSettings(), dividends: DataFrame | None = None, fundamentals: DataFrame | None = None,
+    ranks: RankingSettings = RankingSettings(), dividends: DataFrame | None = None, fundamentals: DataFrame | None = None, scenario: str | None = None,
 ) -> DataFrame:
     """One row for each kept step.
 
     Entry and exit prices come from the ticker's own window over the panel, and a session belongs to the step
     that its number gives, so neither needs a join by interval. ``quotes`` and ``dividends`` are read once.
+    With ``scenario``, a column of ``dividends`` that names a few sources, each of them has its own journal over one ranking.
     """
+    by = [] if scenario is None else [scenario]
     quotes = settled(quotes, "quotes")
     panel = dense(quotes)
     numbers = session_numbers(quotes.filter("close is not null"))
@@ -58,20 +60,23 @@ def journal(
     rows = rows.withColumn("gain", change(F.col("exit_close"), F.col("entry_close")))
     if dividends is not None:
         published = None if fundamentals is None else settled(fundamentals, "fundamentals")
-        credits = accrual(quotes, settled(dividends, "dividends"), published).join(F.broadcast(numbers), "date").crossJoin(F.broadcast(last))
+        dividends = settled(dividends, "dividends")
+        credits = accrual(quotes, dividends, published, by).join(F.broadcast(numbers), "date").crossJoin(F.broadcast(last))
         # sessions in [entry, exit) belong to exactly one step: holdings do not overlap
         place = F.col("n") - (features.needed - 1) - settings.delay
-        held = credits.filter((place >= 0) & (F.col("n") < F.col("last"))).select("ticker", (F.floor(place / settings.step) + 1).cast("int").alias("step"), "accrued")
-        rows = rows.join(held.groupBy("step", "ticker").agg(F.sum("accrued").alias("paid")), ["step", "ticker"], "left").fillna(0.0, ["paid"])
+        held = credits.filter((place >= 0) & (F.col("n") < F.col("last"))).select(*by, "ticker", (F.floor(place / settings.step) + 1).cast("int").alias("step"), "accrued")
+        if by:
+            rows = rows.crossJoin(F.broadcast(dividends.select(*by).distinct()))  # the sources' names
+        rows = rows.join(held.groupBy(*by, "step", "ticker").agg(F.sum("accrued").alias("paid")), [*by, "step", "ticker"], "left").fillna(0.0, ["paid"])
     else:
         rows = rows.withColumn("paid", F.lit(0.0))
     mine = F.col("chosen")
-    each = rows.groupBy("step", "date", "entry", "exit").agg(
+    each = rows.groupBy(*by, "step", "date", "entry", "exit").agg(
         F.avg(F.when(mine, F.col("gain"))).alias("gain"), F.avg(F.when(mine, F.col("paid"))).alias("dividend"),
         (F.avg("gain") + F.avg("paid")).alias("reference_gain"),
         F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("place", "ticker")))), lambda x: x["ticker"]).alias("held"),
     ).filter("gain is not null")
-    over = Window.orderBy("step")
+    over = Window.partitionBy(*by).orderBy("step")
     so_far = over.rowsBetween(Window.unboundedPreceding, 0)
     previous = F.coalesce(F.lag("held").over(over), F.array().cast("array<string>"))
     each = each.withColumn("turnover", F.size(F.array_except("held", previous)) / F.size("held"))
@@ -104,8 +109,9 @@ def curves(steps: DataFrame) -> DataFrame:
 
 
 def source_interval(quotes: DataFrame, reference: DataFrame, dividends: DataFrame, fundamentals: DataFrame, **settings) -> DataFrame:
-    """Lowest and highest total return over the two dividend sources."""
-    quotes, dividends, fundamentals = settled(quotes, "quotes"), settled(dividends, "dividends"), settled(fundamentals, "fundamentals")
-    last = lambda d: journal(quotes, reference, dividends=d, fundamentals=fundamentals, **settings).agg((F.max_by("value", "step") - 1).alias("total"))
-    both = last(dividends).unionByName(last(with_other_source(dividends, fundamentals)))
-    return both.agg(F.min("total").alias("low"), F.max("total").alias("high"))
+    """Lowest and highest total return over the two dividend sources, from one ranking."""
+    dividends, fundamentals = settled(dividends, "dividends"), settled(fundamentals, "fundamentals")
+    other = with_other_source(dividends, fundamentals).select(dividends.columns)
+    both = dividends.withColumn("source", F.lit("dated")).unionByName(other.withColumn("source", F.lit("published")))
+    totals = journal(quotes, reference, dividends=both, fundamentals=fundamentals, scenario="source", **settings).groupBy("source").agg((F.max_by("value", "step") - 1).alias("total"))
+    return totals.agg(F.min("total").alias("low"), F.max("total").alias("high"))

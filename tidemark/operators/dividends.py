@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,44 +11,47 @@ from tidemark.operators.panel import as_of_calendar, calendar
 from tidemark.operators.stats import mean_reversion
 
 
-def dated_yields(quotes: DataFrame, dividends: DataFrame, implausible: float = 0.40) -> DataFrame:
+def dated_yields(quotes: DataFrame, dividends: DataFrame, implausible: float = 0.40, by: Sequence[str] = ()) -> DataFrame:
     """(session, ticker, fiscal_year, ex_date, amount, yield) of each usable dividend.
 
     The price is that of the last market session on or before the ex-date; without a price there the dividend is
-    dropped. A yield above ``implausible`` refuses that ticker's dividends up to its date.
+    dropped. A yield above ``implausible`` refuses that ticker's dividends up to its date. Columns ``by`` (a source of
+    dividends, say) keep their rows apart.
     """
     events = as_of_calendar(dividends.filter("amount > 0"), calendar(quotes), "ex_date").filter("session is not null")
     prices = quotes.filter("close > 0").select(F.col("date").alias("session"), "ticker", "close")
     rows = events.join(prices, ["session", "ticker"]).withColumn("yield", F.col("amount") / F.col("close"))
-    frontier = F.max(F.when(F.col("yield") > implausible, F.col("session"))).over(Window.partitionBy("ticker"))
+    frontier = F.max(F.when(F.col("yield") > implausible, F.col("session"))).over(Window.partitionBy(*by, "ticker"))
     rows = rows.withColumn("_frontier", frontier).filter("_frontier is null or session > _frontier")
-    return rows.select("session", "ticker", "fiscal_year", "ex_date", "amount", "yield")
+    return rows.select(*by, "session", "ticker", "fiscal_year", "ex_date", "amount", "yield")
 
 
-def credited(yields: DataFrame) -> DataFrame:
+def credited(yields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(date, ticker, accrued) with one row per session and ticker that is credited."""
-    return yields.groupBy(F.col("session").alias("date"), "ticker").agg(F.sum("yield").alias("accrued"))
+    return yields.groupBy(*by, F.col("session").alias("date"), "ticker").agg(F.sum("yield").alias("accrued"))
 
 
-def covered_years(yields: DataFrame) -> DataFrame:
-    return yields.filter("fiscal_year is not null").select("ticker", F.col("fiscal_year").alias("year")).distinct()
+def covered_years(yields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return yields.filter("fiscal_year is not null").select(*by, "ticker", F.col("fiscal_year").alias("year")).distinct()
 
 
-def accrual(quotes: DataFrame, dividends: DataFrame, fundamentals: DataFrame | None = None) -> DataFrame:
+def accrual(quotes: DataFrame, dividends: DataFrame, fundamentals: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(date, ticker, accrued): dated dividends, and yields spread over the year where none is dated.
 
     A spread year replaces whatever was credited to the ticker in its sessions.
     """
-    yields = dated_yields(quotes, dividends)
-    dated = credited(yields)
+    yields = dated_yields(quotes, dividends, by=by)
+    dated = credited(yields, by)
     if fundamentals is None:
         return dated
     published = fundamentals.filter("indicator = 'yield' and value is not null").groupBy("ticker", F.year("date").alias("year")).agg(F.max("value").alias("value"))
     sessions = calendar(quotes).select("date", F.year("date").alias("year")).withColumn("_n", F.count("*").over(Window.partitionBy("year")))
     traded = quotes.filter("close is not null").select("ticker").distinct()
-    spread = published.join(covered_years(yields), ["ticker", "year"], "left_anti").join(traded, "ticker", "left_semi").join(sessions, "year")
-    spread = spread.select("date", "ticker", (F.col("value") / 100 / F.col("_n")).alias("_spread"))
-    return dated.join(spread, ["date", "ticker"], "full_outer").select("date", "ticker", F.coalesce("_spread", "accrued").alias("accrued"))
+    if by:  # a published yield spreads in every scenario that has no dated one
+        published = published.crossJoin(F.broadcast(dividends.select(*by).distinct()))
+    spread = published.join(covered_years(yields, by), [*by, "ticker", "year"], "left_anti").join(traded, "ticker", "left_semi").join(sessions, "year")
+    spread = spread.select(*by, "date", "ticker", (F.col("value") / 100 / F.col("_n")).alias("_spread"))
+    return dated.join(spread, [*by, "date", "ticker"], "full_outer").select(*by, "date", "ticker", F.coalesce("_spread", "accrued").alias("accrued"))
 
 
 def coverage(quotes: DataFrame, dividends: DataFrame, fundamentals: DataFrame | None = None) -> DataFrame:

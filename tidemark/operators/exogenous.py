@@ -18,23 +18,28 @@ def variations(aligned: DataFrame, window: int, lag: int) -> DataFrame:
 
 
 def interactions(changes: DataFrame, tickers: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(date, ticker, series, value): the variation for tickers of the mapped sector, nought for others.
+    """(date, ticker, series, value): the variation for the tickers of the mapped sector; others have no row and count as nought.
 
-    ``mapping`` is (series, sector), a setting; a series counts only if some ticker has its sector. The result
-    has a row for every date, ticker and mapped series by definition.
+    ``mapping`` is (series, sector), a setting. Two equi-joins, by series and by sector, so rows are as many as sectors have members.
     """
-    present = mapping.join(tickers.select("sector").distinct(), "sector", "left_semi")
-    rows = changes.join(F.broadcast(present.withColumnRenamed("sector", "_sector")), "series").crossJoin(tickers.select("ticker", "sector"))
-    value = F.when(F.col("sector") == F.col("_sector"), F.coalesce("variation", F.lit(0.0))).otherwise(0.0)
-    return rows.select("date", "ticker", "series", value.alias("value"))
+    mapped = changes.join(F.broadcast(mapping.select("series", "sector")), "series")
+    return mapped.join(tickers.select("ticker", "sector"), "sector").select("date", "ticker", "series", F.coalesce("variation", F.lit(0.0)).alias("value"))
+
+
+def with_noughts(sparse: DataFrame, dates: DataFrame, tickers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The dense view of :func:`interactions`: a row for every date, ticker and series whose sector some ticker has, by definition."""
+    present = mapping.join(tickers.select("sector").distinct(), "sector", "left_semi").select("series")
+    grid = dates.select("date").distinct().crossJoin(F.broadcast(present)).crossJoin(tickers.select("ticker"))
+    return grid.join(sparse, ["date", "ticker", "series"], "left").fillna(0.0, ["value"])
 
 
 def external_features(external: DataFrame, dates: DataFrame, tickers: DataFrame, mapping: DataFrame, settings: ExternalSettings = ExternalSettings()) -> DataFrame:
+    """Sparse interactions on the market's calendar; the sample fills in noughts where it joins them."""
     return interactions(variations(forward_filled(external, dates), settings.window, settings.lag), tickers, mapping)
 
 
 def wide(long: DataFrame, series: list[str]) -> DataFrame:
-    """One column ``exo_<series>`` for each of the named series."""
+    """One column ``exo_<series>`` for each of the named series, null where a ticker has no row of it."""
     out = long.groupBy("date", "ticker").pivot("series", series).agg(F.first("value"))
     return out.select("date", "ticker", *[F.col(f"`{s}`").alias(f"exo_{s}") for s in series])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalised, ticker, without_country
@@ -10,30 +10,44 @@ from tidemark.functions.text import normalised, ticker, without_country
 LEAST_PREFIX = 4
 
 
+def _index(known: DataFrame, key: str) -> DataFrame:
+    """(key, lo, hi): the least and greatest ticker under each key, equal where there is one. Aggregated before it moves, so no key is hot."""
+    return known.groupBy(F.col(key).alias("_key")).agg(F.min("ticker").alias("lo"), F.max("ticker").alias("hi"))
+
+
+def prefixes(name: str) -> Column:
+    """All beginnings of at least ``LEAST_PREFIX`` letters, the whole name too."""
+    n = F.length(name)
+    return F.when(n >= LEAST_PREFIX, F.transform(F.sequence(F.lit(LEAST_PREFIX), n), lambda k: F.substring(F.col(name), F.lit(1), k)))
+
+
 def reconcile(names: DataFrame, reference: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds ``ticker`` and ``rule`` to (name); returns the matched names and the rest.
 
     Rules in order: the alias table (alias, ticker), the name is itself a ticker, the full normalised name, the name
-    without country, a prefix of at least four letters. The first rule with any candidate decides, and only if there is
-    one. The prefix rule joins on the first four letters, so it stays an equi-join.
+    without country, a prefix of at least four letters in either direction. The first rule with any candidate decides, and
+    only if there is one. Every rule is an equi-join with an index that holds one row a key: prefixes are exploded on either side in turn, so
+    companies that begin alike share a row of the index and not a task.
     """
-    asked = names.select("name").distinct().withColumns({"_n": normalised(F.col("name")), "_s": without_country(F.col("name"))})
+    asked = names.select("name").distinct().withColumns({"_n": normalised(F.col("name")), "_s": without_country(F.col("name")), "_t": ticker(F.col("name"))})
     known = reference.select("ticker", normalised(F.col("name")).alias("_kn"), without_country(F.col("name")).alias("_ks")).filter("_kn is not null and _kn <> ''")
-    head = lambda c: F.substring(c, 1, LEAST_PREFIX)
-    listed = aliases.select(normalised(F.col("alias")).alias("_n"), "ticker").join(reference.select("ticker"), "ticker", "left_semi")
+    listed = aliases.select(normalised(F.col("alias")).alias("_kn"), "ticker").join(reference.select("ticker"), "ticker", "left_semi")
+    begun = _index(known.select("ticker", F.explode(prefixes("_ks")).alias("_p")), "_p")
+    at = lambda key, index, rows=asked: rows.join(index, F.col(key) == F.col("_key")).select("name", "lo", "hi")
     rules = [
-        asked.join(listed, "_n").select("name", "ticker"),
-        asked.withColumn("ticker", ticker(F.col("name"))).join(reference.select("ticker"), "ticker", "left_semi").select("name", "ticker"),
-        asked.join(known, F.col("_n") == F.col("_kn")).select("name", "ticker"),
-        asked.join(known, F.col("_s") == F.col("_ks")).select("name", "ticker"),
-        asked.filter(F.length("_s") >= LEAST_PREFIX).join(known.filter(F.length("_ks") >= LEAST_PREFIX), head("_s") == head("_ks")).filter(F.col("_ks").startswith(F.col("_s")) | F.col("_s").startswith(F.col("_ks"))).select("name", "ticker"),
+        at("_n", _index(listed, "_kn")),
+        at("_t", _index(reference.select("ticker", F.col("ticker").alias("_kt")), "_kt")),
+        at("_n", _index(known, "_kn")),
+        at("_s", _index(known, "_ks")),
+        at("_s", begun, asked.filter(F.length("_s") >= LEAST_PREFIX)).unionByName(at("_p", _index(known, "_ks"), asked.select("name", F.explode(prefixes("_s")).alias("_p")))),
     ]
     found = None
     for i, rule in enumerate(rules, 1):
-        one = rule.groupBy("name").agg(F.collect_set("ticker").alias("tickers")).withColumn("rule", F.lit(i))
+        one = rule.withColumn("rule", F.lit(i))
         found = one if found is None else found.unionByName(one)
-    first = found.groupBy("name").agg(F.min(F.struct("rule", "tickers")).alias("p"))
-    matched = first.filter(F.size("p.tickers") == 1).select("name", F.element_at("p.tickers", 1).alias("ticker"), "p.rule")
+    each = found.groupBy("name", "rule").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    first = each.groupBy("name").agg(F.min(F.struct("rule", "lo", "hi")).alias("p"))
+    matched = first.filter("p.lo = p.hi").select("name", F.col("p.lo").alias("ticker"), "p.rule")
     return matched, names.select("name").distinct().join(matched, "name", "left_anti")
 
 

@@ -73,6 +73,18 @@ def witness(quotes: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("date", "ticker", unit.alias("unit"))
 
 
+def witness_verdict(quotes: DataFrame, known: DataFrame, source: str = "ticker") -> DataFrame:
+    """(source, unit, compared) for each source of ``quotes``: a unit only if every compared session has it.
+
+    Otherwise it says why: ``undecided`` where sessions match neither unit or not all the same one, ``unavailable`` where none is known.
+    """
+    seen = witness(quotes, known).join(quotes.select("date", "ticker", F.col(source).alias("_source")), ["date", "ticker"])
+    told = seen.groupBy("_source").agg(F.count("*").alias("compared"), F.count("unit").alias("_told"), F.min("unit").alias("_lo"), F.max("unit").alias("_hi"))
+    every = quotes.select(F.col(source).alias("_source")).distinct().join(told, "_source", "left")
+    unit = F.when(F.col("compared").isNull(), "unavailable").when((F.col("compared") == F.col("_told")) & (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise("undecided")
+    return every.select(F.col("_source").alias("source"), unit.alias("unit"), F.coalesce("compared", F.lit(0)).alias("compared"))
+
+
 def provisional(quotes: DataFrame, today: Column, hour: Column, closing_hour: int) -> DataFrame:
     """Marks rows of a session that is still open: today's, seen before closing."""
     return quotes.withColumn("provisional", (F.col("date") == today) & (hour < closing_hour))

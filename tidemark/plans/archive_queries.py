@@ -180,11 +180,11 @@ def notices_with_links(spark, d):
 
 @query(f"WITH {cte('reference')} SELECT {CODE_SQL} AS ticker, concat({CODE_SQL}, CASE WHEN sector IN ('S1', 'S2') THEN '.sn' ELSE '.ci' END) AS symbol FROM reference")
 def ticker_symbols(spark, d):
-    """Country suffixes from a menu, the default for tickers that it does not list; index entries are skipped."""
+    """Country suffixes from a menu, the default for tickers that it does not list; indices are skipped, a ticker's last entry counts."""
     known = load(spark, d, "reference").withColumn("ticker", F.expr(CODE_SQL))
-    entry = F.concat(F.lit("INDEX"), F.substring("sector", 2, 1), F.lit(".ci | "), "ticker", F.lit(".SN | no entry"))
+    entry = F.concat(F.lit("INDEX"), F.substring("sector", 2, 1), F.lit(".ci | HOUSE"), F.substring("sector", 2, 1), F.lit(".ml | "), "ticker", F.lit(".bj | "), "ticker", F.lit(".SN | no entry"))
     menu = known.filter("sector in ('S1', 'S2')").select(entry.alias("menu"))
-    return pages.with_symbol(known.select("ticker"), pages.symbols(menu, "ci", "index"), "ci").select("ticker", "symbol")
+    return pages.with_symbol(known.select("ticker"), pages.symbols(menu, "ci", ("index", "house")), "ci").select("ticker", "symbol")
 
 
 @query(f"""WITH {cte("quotes")} SELECT CAST(date AS VARCHAR) AS date, ticker, round(volume_shares, 4) AS volume_shares, round(volume_shares * (low + high) / 2, 4) AS volume_value FROM quotes""", digits=4)
@@ -239,6 +239,16 @@ def volume_units(spark, d):
     return quality.witness(seen, known)
 
 
+@query(f"""WITH {cte("quotes")} SELECT ticker AS source, CASE CAST(substr(ticker, 7) AS INT) % 4 WHEN 0 THEN 'shares' WHEN 1 THEN 'value' WHEN 2 THEN 'undecided' ELSE 'unavailable' END AS unit,
+CASE WHEN CAST(substr(ticker, 7) AS INT) % 4 = 3 THEN 0 ELSE count(*) END AS compared FROM quotes GROUP BY ticker""")
+def volume_verdicts(spark, d):
+    """A source's unit, or that its sessions cannot tell it, or that none of them is known."""
+    kind = F.substring("ticker", 7, 2).cast("int") % 4
+    rows = quotes_of(spark, d).select("date", "ticker", F.col("volume_shares").alias("shares"), (F.col("volume_value") + 10_000).alias("value"))
+    seen = rows.select("date", "ticker", F.when(kind == 0, F.col("shares")).when(kind == 1, F.col("value")).otherwise(-5.0).alias("volume"))
+    return quality.witness_verdict(seen, rows.filter(kind != 3))
+
+
 # -- names and dividends ------------------------------------------------------------------------------------------------
 def collected(spark, d):
     known, rows = load(spark, d, "reference"), load(spark, d, "dividends")

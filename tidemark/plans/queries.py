@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest, dividends, exogenous, features, learn, merge, panel, quality, ranking, research, snapshot, stats
 from tidemark.operators.dedupe import union_by_priority
+from tidemark.operators.settle import settled
 from tidemark.plans.fixtures import BACKTEST, EXTERNAL, FEATURES, LEARNING, RANKS, SWEEP, cte, load
 from tidemark.sources import archive
 
@@ -200,7 +201,8 @@ def mapping_of(spark):
 @query(f"""WITH {FILLED}, {cte("reference")}, map AS (SELECT * FROM (VALUES ('1-URGENT', 'S1'), ('2-HIGH', 'S2'), ('3-MEDIUM', 'S3')) m(series, sector))
 SELECT CAST(v.date AS VARCHAR) AS date, r.ticker, v.series, round(CASE WHEN r.sector = m.sector THEN coalesce(variation, 0) ELSE 0 END, 6) AS value FROM varied v JOIN map m ON m.series = v.series CROSS JOIN reference r""")
 def sector_interactions(spark, d):
-    return exogenous.external_features(load(spark, d, "external"), panel.calendar(quotes_of(spark, d)), load(spark, d, "reference"), mapping_of(spark), EXTERNAL)
+    dates, listed, mapping = panel.calendar(quotes_of(spark, d)), load(spark, d, "reference"), mapping_of(spark)
+    return exogenous.with_noughts(exogenous.external_features(load(spark, d, "external"), dates, listed, mapping, EXTERNAL), dates, listed, mapping)
 
 
 @query(f"WITH {cte('external')} SELECT series, count(*) AS points, CAST(min(date) AS VARCHAR) AS first, CAST(max(date) AS VARCHAR) AS last FROM external GROUP BY 1")
@@ -221,7 +223,7 @@ def dated_dividend_yields(spark, d):
 
 @query(f"WITH {ACCRUAL} SELECT CAST(date AS VARCHAR) AS date, ticker, round(accrued, 9) AS accrued FROM accrual", digits=9)
 def total_return_accrual(spark, d):
-    return dividends.accrual(quotes_of(spark, d), load(spark, d, "dividends"), load(spark, d, "fundamentals"))
+    return dividends.accrual(settled(quotes_of(spark, d), "quotes"), settled(load(spark, d, "dividends"), "dividends"), settled(load(spark, d, "fundamentals"), "fundamentals"))
 
 
 @query(f"""WITH {ACCRUAL}, known AS (SELECT ticker, year FROM cov UNION SELECT ticker, year(date) FROM fundamentals WHERE indicator = 'yield')

@@ -6,7 +6,7 @@ by page in tasks. All that follows (recognising columns, numbers, dates, choosin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 from tidemark.operators.quality import valued
+from tidemark.operators.settle import settled
 
 TABLES = "page_id long, table_no int, row_no int, header array<string>, cells array<string>"
 LINKS = "page_id long, row_no int, text string, hrefs array<string>"
@@ -238,11 +239,21 @@ def header_years(tables: DataFrame) -> DataFrame:
     return tables.select("page_id", F.explode(years).alias("year")).groupBy("page_id").agg(F.sort_array(F.collect_set("year")).alias("years"))
 
 
-def symbols(menus: DataFrame, default: str, index_prefix: str) -> DataFrame:
-    """(ticker, symbol) out of menu texts such as "ABC.ci"; entries of an index and entries without a dot are skipped."""
-    entry = F.explode(F.regexp_extract_all("menu", F.lit("([A-Za-z0-9]+\\.[A-Za-z]{2})\\b"), F.lit(1)))
-    rows = menus.select(entry.alias("symbol")).filter(~F.upper("symbol").startswith(index_prefix.upper()))
-    return rows.select(F.upper(F.substring_index("symbol", ".", 1)).alias("ticker"), F.lower(F.substring_index("symbol", ".", -1)).alias("country")).distinct().withColumn("symbol", F.concat("ticker", F.lit("."), F.coalesce("country", F.lit(default))))
+def symbols(menus: DataFrame, default: str, index_prefixes: Sequence[str]) -> DataFrame:
+    """(ticker, country, symbol) out of menu texts such as "ABC.ci"; entries of an index and entries without a dot are skipped.
+
+    A ticker listed more than once has its last entry: by ``page_id`` where there is one, then by place in the menu. A null menu
+    is refused, and one without any share.
+    """
+    refuse = lambda text: F.raise_error(F.lit(text)).cast("array<string>")
+    found = F.when(F.col("menu").isNull(), refuse("no menu of symbols on the page")).otherwise(F.regexp_extract_all("menu", F.lit("([A-Za-z0-9]+\\.[A-Za-z]{2})\\b"), F.lit(1)))
+    index = lambda s: F.exists(F.array(*[F.lit(p.upper()) for p in index_prefixes]), lambda p: F.startswith(F.upper(s), p))
+    page = F.col("page_id") if "page_id" in menus.columns else F.lit(0)
+    rows = menus.select(page.alias("_page"), F.filter(found, lambda s: ~index(s)).alias("_shares"))
+    rows = rows.select("_page", F.posexplode(F.when(F.size("_shares") > 0, F.col("_shares")).otherwise(refuse("no share in the menu of symbols"))).alias("_at", "_entry"))
+    rows = rows.select("_page", "_at", F.upper(F.substring_index("_entry", ".", 1)).alias("ticker"), F.lower(F.substring_index("_entry", ".", -1)).alias("country"))
+    last = rows.groupBy("ticker").agg(F.max_by("country", F.struct("_page", "_at")).alias("country"))
+    return last.withColumn("symbol", F.concat("ticker", F.lit("."), F.coalesce("country", F.lit(default))))
 
 
 def with_symbol(tickers: DataFrame, known: DataFrame, default: str) -> DataFrame:
@@ -274,12 +285,19 @@ def history_payload(payloads: DataFrame) -> DataFrame:
     return rows.filter("date is not null and close is not null")
 
 
-def history_tables(tables: DataFrame, ticker: Column) -> DataFrame:
-    """The same rows out of the first table of a page that has a date and a close."""
-    rows = recognise(tables, HISTORY_ALIASES).filter("at_date is not null and at_close is not null")
-    rows = rows.withColumn("_first", F.min("table_no").over(Window.partitionBy("page_id"))).filter("table_no = _first")
+def history_tables(tables: DataFrame, ticker: Column, expected: DataFrame | None = None) -> DataFrame:
+    """The same rows out of the first table of a page that has a date and a close.
+
+    A page of ``expected`` (page_id), by default of ``tables``, that has no such table is refused: no rows would look like no trade.
+    """
+    tables = settled(tables, "tables")  # pages are read once
+    known = recognise(tables, HISTORY_ALIASES).filter("at_date is not null and at_close is not null")
+    rows = known.withColumn("_first", F.min("table_no").over(Window.partitionBy("page_id"))).filter("table_no = _first")
     out = rows.select(ticker.alias("ticker"), tx.day(cell("date")).alias("date"), *[tx.number(cell(c)).alias(c) for c in ("open", "high", "low", "close", "volume")])
-    return out.filter("date is not null and close is not null")
+    out = out.filter("date is not null and close is not null")
+    lacking = (tables if expected is None else expected).select("page_id").distinct().join(known.select("page_id").distinct(), "page_id", "left_anti")
+    refused = F.raise_error(F.concat(F.lit("no table with a date and a close on page "), F.col("page_id").cast("string")))
+    return out.unionByName(lacking.select(*[refused.cast(f.dataType).alias(f.name) for f in out.schema]))
 
 
 def retained(history: DataFrame, volume: str = "volume_shares") -> DataFrame:
