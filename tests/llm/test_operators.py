@@ -116,6 +116,31 @@ def test_ids_of_any_letters_equal_the_tokenizers():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
+def test_scores_do_not_depend_on_partitions(spark, rows):
+    docs = table(spark, rows)
+    base = None
+    for n in (1, 4, 32):
+        got = {r.doc_id: (r.score, r.base_score) for r in lm_mixing.lm_scores(docs.repartition(n), learners=3, least_bytes=30_000).collect()}
+        base = base or got
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in base.items()}
+        assert all(abs(v[1] - base[k][1]) < 1e-6 for k, v in got.items())
+
+
+def test_learners_share_rows_by_their_hash(spark, rows):
+    docs = table(spark, rows).select("doc_id", "text")
+    held = [sorted((r._learner, r.text or "") for r in lm_mixing.dealt(docs.repartition(n), 5).collect()) for n in (1, 7)]
+    assert held[0] == held[1] and {k for k, _ in held[0]} == set(range(5)) and len(held[0]) == docs.count()
+    parts = lm_mixing.dealt(docs, 5).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.countDistinct("_learner").alias("n")).collect()
+    assert [r.n for r in parts] == [1] * 5  # a task each
+
+
+def test_alphabet_is_bounded(spark, rows):
+    few = lm_mixing.lm_scores(table(spark, rows), most_words=5)
+    many = lm_mixing.lm_scores(table(spark, rows))
+    key = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in df.collect())
+    assert key(few) == key(many)  # the base is exact whatever the alphabet
+
+
 def test_ids_of_letters_before_every_mark():
     """The tokenizer composes before it lowers: a lowered letter must not meet a mark that its capital leaves alone."""
     from tokenizers import Tokenizer

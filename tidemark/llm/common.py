@@ -182,11 +182,11 @@ def sum_chunks(df: DataFrame, dtype=np.float64, fan_in: int = 32) -> DataFrame:
 def merge_chunks(df: DataFrame, merge, parts: int, fan_in: int = 32) -> DataFrame:
     """One (chunk, vector) for each ``chunk`` of (part, chunk, vector): ``merge(chunk, vectors)``, at most ``fan_in`` at a time.
 
-    ``parts`` is one more than the largest part.
+    ``parts`` is one more than the largest part. Vectors come in the order of their parts.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["chunk"].iloc[0])
+        chunk, pdf = int(pdf["chunk"].iloc[0]), pdf.sort_values("part")  # in one order, however rows arrive
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // fan_in], "chunk": [chunk], "vector": [merge(chunk, pdf["vector"].tolist())]})
 
     while parts > 1:

@@ -15,9 +15,10 @@ adaptive map of the gate refines the result. So the mixture follows the text whi
 the group of training texts (a column such as lang, where there is one) that fits the words so far
 best, and the matches are its own repetitions. The score of a text is the sum over its bits and nothing else.
 
-Training reads each partition once, online: a step of texts is predicted with the tables so far,
+Training rows are dealt to learners by a hash of id and text; their number follows from the bytes of the corpus alone, and each
+learner reads its rows once, online, in the order of that hash: a step of texts is predicted with the tables so far,
 weights take a Newton step and the map is counted, then the step's bits enter the tables. Tables are summed
-over partitions, weights averaged by the bits they saw. Table sizes follow the number of training tokens up
+over learners in their order, weights averaged by the bits they saw, so partitions, files and cores do not change a score. Table sizes follow the number of training tokens up
 to ``most_bits`` bits; above 2^31 the two counts of a slot are halved together. The followers of word
 pairs keep, in each slot, a candidate and its lead over others (a majority vote, which can be merged).
 Equal symbols in equal contexts of a step are computed once and weighed by their number.
@@ -492,8 +493,24 @@ def _count_words(batches: Iterator) -> Iterator:
         yield from rows(g)
 
 
-def train(texts: DataFrame, alphabet: Alphabet, tokens: int, task_bytes: int, most_bits: int) -> Mixer:
-    """Reads every training text (column text) once and returns the model."""
+def dealt(texts: DataFrame, learners: int) -> DataFrame:
+    """(_learner, text): each text with its learner, learners in tasks of their own as far as there are tasks, in a fixed order.
+
+    Equal ids with equal texts share a learner; nothing else does by its key alone.
+    """
+    spark = texts.sparkSession
+    order = F.xxhash64("doc_id", "text")
+    # a number for each learner that Spark's partitioning deals to the partition of that learner
+    place = F.pmod(F.hash("id"), F.lit(learners))
+    found = {r.p: r.id for r in spark.range(64 * learners).groupBy(place.alias("p")).agg(F.min("id").alias("id")).collect()}
+    places = F.array(*[F.lit(found.get(i, i)).cast("long") for i in range(learners)])
+    rows = texts.select("text", F.col("doc_id").cast("string").alias("_id"), order.alias("_order"), F.pmod(order, F.lit(learners)).cast("int").alias("_learner"))
+    rows = rows.withColumn("_place", F.get(places, F.col("_learner"))).repartition(learners, "_place")
+    return rows.sortWithinPartitions("_learner", "_order", "_id", "text").select("_learner", "text")
+
+
+def train(texts: DataFrame, alphabet: Alphabet, tokens: int, task_bytes: int, most_bits: int, learners: int, least_bytes: int) -> Mixer:
+    """Reads every training text (columns doc_id and text) once and returns the model."""
     bits = lambda n: int(np.clip(int(n).bit_length(), 12, most_bits))
     sizes = [1 << bits(32 * len(alphabet.hash)), 1 << bits(4 * tokens), *[1 << bits(4 * tokens)] * 3]
     follow = 1 << bits(2 * tokens)
@@ -503,9 +520,8 @@ def train(texts: DataFrame, alphabet: Alphabet, tokens: int, task_bytes: int, mo
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        learner, alphabet = Learner(sizes, follow), shared.value
+        learner, alphabet, own = None, shared.value, None
         held, size = [], 0
         batch_of = lambda: (np.concatenate([d for d, _ in held]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in held]))]))
 
@@ -513,24 +529,37 @@ def train(texts: DataFrame, alphabet: Alphabet, tokens: int, task_bytes: int, mo
             data, offsets = batch_of()
             learner.learn(Symbols(Words(data, offsets), offsets, alphabet, learner.mixer.follow), len(data))
 
+        def close() -> Iterator:
+            if held:
+                step()
+            for chunk, vector in learner.chunks():
+                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([chunk]), pa.array([vector], pa.binary())], ["part", "chunk", "vector"])
+
         for batch in batches:
-            data, offsets = utf8_parts(batch.column(0))
-            for a, b in steps(offsets, LEAST_STEP):
-                held.append((data[offsets[a] : offsets[b]], offsets[a : b + 1]))
-                size += int(offsets[b] - offsets[a])
-                if size >= min(max(LEAST_STEP, learner.read // 4), MOST_STEP):
-                    step()
-                    held, size = [], 0
-        if held:
-            step()
-        part = TaskContext.get().partitionId()
-        for chunk, vector in learner.chunks():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([chunk]), pa.array([vector], pa.binary())], ["part", "chunk", "vector"])
-
-    # tables are as large for a small task as for a large one: few tasks, each over ``task_bytes`` where there is so much
+            data, offsets = utf8_parts(batch.column(1))
+            numbers = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if first == last:
+                    continue
+                if own != int(numbers[first]):
+                    if learner is not None:
+                        yield from close()
+                    learner, own, held, size = Learner(sizes, follow), int(numbers[first]), [], 0
+                for i in range(first, last):  # text by text, so steps do not depend on batches
+                    held.append((data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])))
+                    size += int(offsets[i + 1] - offsets[i])
+                    if size >= min(max(LEAST_STEP, learner.read // 4), MOST_STEP):
+                        step()
+                        held, size = [], 0
+        if learner is not None:
+            yield from close()
+
+    # a learner needs text enough to learn from, and its tables are as large for little text as for much: one for each ``least_bytes``
+    # up to ``learners``, more only for each ``task_bytes``
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    tasks = max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))
-    learned = texts.coalesce(tasks).mapInArrow(read, "part long, chunk long, vector binary")
+    tasks = max(min(learners, 1 + size // least_bytes), -(-size // task_bytes))
+    learned = dealt(texts, tasks).mapInArrow(read, "part long, chunk long, vector binary")
     codes, followers, total = np.zeros(int(starts[-1]), np.uint16), np.zeros(follow, np.uint64), None
     # what comes to the driver, and is broadcast, has a fixed size: two bytes a slot, eight a follower
     for chunk, vector in merge_chunks(learned, merged, tasks).mapInArrow(_quantise, "chunk long, vector binary").collect():
@@ -555,14 +584,14 @@ def train(texts: DataFrame, alphabet: Alphabet, tokens: int, task_bytes: int, mo
 
 
 def lm_scores(
-    docs: DataFrame, least_rate: float = 2.0**-23, groups: int = 7, task_bytes: int = 256 << 20, most_bits: int = 21,
+    docs: DataFrame, least_rate: float = 2.0**-23, groups: int = 7, task_bytes: int = 256 << 20, most_bits: int = 21, learners: int = 8, least_bytes: int = 8 << 20, most_words: int = 1 << 20,
     id_col: str = "doc_id", text_col: str = "text", group_col: str | None = "lang",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     ``group_col`` parts the training texts only: its ``groups`` most frequent values, and the rest. The
-    alphabet has 1 / ``least_rate`` words at most, whatever the size of the corpus; it and the tables are
-    what is broadcast. Counts of all other training words reach their documents by a join.
+    alphabet has ``most_words`` words at most, those of the highest counts, whatever the size of the corpus; it and the
+    tables are what is broadcast. Counts of all other training words reach their documents by a join.
     """
     spark = docs.sparkSession
     group = F.col(group_col).cast("string") if group_col in docs.columns else F.lit(None).cast("string")
@@ -576,12 +605,19 @@ def lm_scores(
     vocabulary = materialise(counted.groupBy("hash").agg(F.sum("n").alias("n"), *each), "vocabulary")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(2, int(np.ceil(tokens * least_rate)))
-    frequent = vocabulary.filter((F.col("n") >= least) | (F.col("hash") == END_HASH)).toPandas()  # at most 1 / least_rate rows
+    sixteenth = F.floor(16 * F.log2(F.col("n").cast("double")))  # counts by sixteenths of a power of two: under a thousand rows
+    above = 0
+    for r in vocabulary.filter(F.col("n") >= least).groupBy(sixteenth.alias("k")).agg(F.count("*").alias("words")).orderBy(F.desc("k")).collect():
+        above += r.words
+        if above > most_words:
+            least = max(least, int(np.ceil(2.0 ** ((r.k + 1) / 16))))
+            break
+    frequent = vocabulary.filter((F.col("n") >= least) | (F.col("hash") == END_HASH)).toPandas()  # at most most_words rows and one
     if END_HASH not in set(frequent["hash"]):
         frequent.loc[len(frequent)] = [END_HASH, 1, *[0] * len(counts)]
     known_n = frequent["n"].to_numpy(np.int64)
     alphabet = Alphabet(frequent["hash"].to_numpy(np.int64), known_n, frequent[counts].to_numpy(np.float64), tokens)
-    model = train(train_texts.select("text"), alphabet, tokens, task_bytes, most_bits)
+    model = train(train_texts.select("doc_id", "text"), alphabet, tokens, task_bytes, most_bits, learners, least_bytes)
     shared = spark.sparkContext.broadcast((model, alphabet))
     floor = tokens + distinct + 1
     # the end token is in the alphabet even where training has none
