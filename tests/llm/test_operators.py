@@ -116,6 +116,29 @@ def test_ids_of_any_letters_equal_the_tokenizers():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
+def text_of(page):
+    return html_extract.main_text(html_extract.Page(page).blocks, set())
+
+
+def test_clear_names_are_furniture_in_articles_too():
+    page = "<body><article><p>The story itself, long enough.</p><div class='related-posts'><p>Other story</p></div><div class='share-price'><p>Shares fell.</p></div><div id='user-comments'><p>First!</p></div></article></body>"
+    assert text_of(page) == "The story itself, long enough.\nShares fell."
+
+
+def test_a_form_around_the_page_is_no_furniture():
+    assert text_of("<body><form id=x><div><p>All of the page.</p><input value=a><p>Second part.</p><select><option>No</option></select></div></form></body>") == "All of the page.\nSecond part."
+    assert text_of("<body><form id=x><nav>Menu of things</nav><div><p>Body text.</p></div></form></body>") == "Body text."
+    assert text_of("<body><p>A page with a text of its own.</p><form><p>Your name</p></form></body>") == "A page with a text of its own."
+    assert text_of("<body><div class='newsletter'><form><p>Mail address please, of any length whatever</p></form></div><p>Text.</p></body>") == "Text."
+
+
+def test_stray_end_tags_take_linear_time():
+    for n in (1, 100_000):
+        started = time.time()
+        assert text_of("<body><b><div>" + "<span>" * n + "x" + "</b>" * n + "<i>y</i></div></body>") == "xy"
+        assert time.time() - started < 4
+
+
 def test_scores_do_not_depend_on_partitions(spark, rows):
     docs = table(spark, rows)
     base = None
@@ -178,6 +201,16 @@ def plain_components(rows):
     return sets, root
 
 
+def test_near_duplicates_take_text_ids(spark, rows):
+    docs = table(spark, rows)
+    name = F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+    numbers = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
+    got = near_dedup.near_duplicates(docs.withColumn("doc_id", name).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("string")))).collect()
+    spelled = lambda i: f"d{i:05d}"
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id} == {spelled(i): (r.n_shingles, spelled(r.component_id), r.kept) for i, r in numbers.items()}
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, False)]
+
+
 def test_near_duplicates_equal_all_pairs(spark, rows):
     sets, root = plain_components(rows)
     got = near_dedup.near_duplicates(table(spark, rows + [rows[70]])).collect()

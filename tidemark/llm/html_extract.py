@@ -8,7 +8,7 @@ presentation; the branch has the mean of both. A branch below ``least_importance
 ``min_blocks`` blocks is low, and so is a text at a path that recurs on at least ``common`` of the host's pages.
 
 A page may name its parts. Elements of furniture kinds or with a name of furniture (menus, footers, adverts,
-forms, comments and the like) are cut, but a form that holds an article is no furniture. A declared article or main part
+forms, comments and the like) are cut, but a form that holds an article, or most of a page's text, is no furniture. A declared article or main part
 is kept whole, as a host may hold many near copies of one article, if it has at least ``declared_share`` of the page's
 unlinked text (a teaser has not). Everything the page leaves open is decided by the tree of its host: blocks
 of pages that declare no such part, and branches in an article of which only a part of the name sounds
@@ -27,8 +27,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -49,6 +49,8 @@ FURNITURE = set(
     "sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social "
     "related recommended recommendations trending comment comments commentlist disqus reply replies respond pager pagination toolbar copyright legal hidden".split()
 )
+#: Words that mean furniture as a part of a name too ("user-comments", "related-posts"), in an article as elsewhere.
+CLEAR = set("advert advertisement advertising sponsored navbar submenu breadcrumb breadcrumbs sidebar cookie cookies gdpr newsletter related recommended recommendations comment comments commentlist disqus pager pagination".split())
 MAIN_STYLES = set("article main content post entry story body-text article-body post-content entry-content".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -62,14 +64,14 @@ def _look(tag: str, names: str, marked_hidden: bool) -> tuple[str, bool, bool, b
     whole, parts = set(words), {p for w in words for p in re.split(r"[-_:]+", w)}
     main = tag in ("article", "main") or bool(MAIN_STYLES & whole) or "articlebody" in whole
     page = tag in ("html", "body", "article", "main")
-    furniture = tag in HIDDEN or bool(FURNITURE & whole) and not page or marked_hidden
+    furniture = tag in HIDDEN or bool(FURNITURE & whole or CLEAR & parts) and not page or marked_hidden
     return tag + "".join(f".{w}" for w in sorted(words)), furniture, bool(FURNITURE & parts) and not page and not furniture, main
 
 
 class Element:
     """An open element with what its place in the page says: nothing is looked up along the stack later."""
 
-    __slots__ = ("tag", "path", "around", "hidden", "doubtful", "main", "head", "heading", "linked", "children", "form")
+    __slots__ = ("tag", "path", "around", "hidden", "doubtful", "main", "head", "heading", "linked", "children", "form", "cut")
 
     def __init__(self, tag: str, attributes: list, parent: Element | None):
         names, marked_hidden = "", False
@@ -87,9 +89,11 @@ class Element:
         above = parent is not None and parent.hidden
         if named_main and parent is not None and parent.form and not parent.main:
             above = False  # a page wrapped in a form
-        self.hidden = furniture and not (tag == "header" and inside) or tag == "header" and not inside or above
         # outside a main part a name that sounds like furniture is enough; inside, the tree is asked
-        self.hidden = self.hidden or doubtful and not inside
+        own = furniture and not (tag == "header" and inside) or tag == "header" and not inside or doubtful and not inside
+        self.hidden = own or above
+        #: hidden for more than lying in a form: a form may wrap a whole page
+        self.cut = own and (tag != "form" or marked_hidden) or parent is not None and parent.cut
         self.doubtful = doubtful and inside or parent is not None and parent.doubtful
         #: hash of the styles from the root; inline elements are part of their block
         if tag in INLINE:
@@ -103,17 +107,18 @@ class Element:
 class Block:
     """A run of text between block elements."""
 
-    __slots__ = ("path", "around", "text", "main", "hidden", "doubtful", "linked", "siblings")
+    __slots__ = ("path", "around", "text", "main", "hidden", "doubtful", "linked", "siblings", "formed")
 
     def __init__(self, inner: Element | None, text: str, linked: int):
         self.text, self.linked = text, linked
         if inner is None:
             self.path = self.around = 0
-            self.main = self.hidden = self.doubtful = False
+            self.main = self.hidden = self.doubtful = self.formed = False
             self.siblings = [0]
         else:
             self.path, self.around, self.main, self.doubtful = inner.path, inner.around, inner.main, inner.doubtful
-            self.hidden = inner.hidden or inner.head and not inner.heading
+            head = inner.head and not inner.heading
+            self.hidden, self.formed = inner.hidden or head, inner.hidden and not inner.cut and not head
             self.siblings = inner.children
 
 
@@ -124,7 +129,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.stack: list[Element] = []
-        self.open: Counter = Counter()
+        self.open: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each tag
         self.text: list[str] = []
         self.place: Element | None = None
         self.placed, self.linked = False, 0
@@ -144,18 +149,17 @@ class Page(HTMLParser):
             self.blocks.append(Block(self.place, text, self.linked))
         self.text, self.place, self.placed, self.linked = [], None, False, 0
 
-    def pop_to(self, tag: str, within: set[str]) -> bool:
-        if not self.open[tag]:
+    def pop_to(self, tag: str, within: Iterable[str]) -> bool:
+        """Closes the last open ``tag`` and all in it, unless an element of ``within`` was opened after it."""
+        if not self.open.get(tag):
             return False
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                for e in self.stack[i:]:
-                    self.open[e.tag] -= 1
-                del self.stack[i:]
-                return True
-            if self.stack[i].tag in within:
-                return False
-        return False
+        at = self.open[tag][-1]
+        if any(places and places[-1] > at for places in map(self.open.get, within)):
+            return False
+        for e in self.stack[at:]:
+            self.open[e.tag].pop()
+        del self.stack[at:]
+        return True
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in INLINE:
@@ -168,7 +172,7 @@ class Page(HTMLParser):
                 self.pop_to(tag, CLOSED_BY_SAME[tag])
         if tag not in VOID:
             self.stack.append(Element(tag, attrs, self.stack[-1] if self.stack else None))
-            self.open[tag] += 1
+            self.open[tag].append(len(self.stack) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -176,7 +180,7 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        self.pop_to(tag, CONTAINERS - {tag} if tag in INLINE or tag == "p" else set())
+        self.pop_to(tag, CONTAINERS if tag in INLINE or tag == "p" else ())
 
     def handle_data(self, data: str) -> None:
         inner = self.stack[-1] if self.stack else None
@@ -203,9 +207,11 @@ def main_text(blocks: list[Block], low: set[int], declared_share: float = 0.3) -
     def important(b: Block) -> bool:
         return not low or not (low & set(_signed([b.path, _code(b.text, b.path)]).tolist()))
 
-    shown = [b for b in blocks if not b.hidden]
-    declared = [b for b in shown if b.main]
     unlinked = lambda some: sum(len(b.text) - b.linked for b in some)
+    shown, formed = [b for b in blocks if not b.hidden], [b for b in blocks if b.formed]
+    if formed and unlinked(formed) > unlinked(shown):
+        shown = [b for b in blocks if not b.hidden or b.formed]  # a page wrapped in a form
+    declared = [b for b in shown if b.main]
     if declared and unlinked(declared) >= declared_share * unlinked(shown):
         kept = [b for b in declared if not b.doubtful or important(b)]
     else:

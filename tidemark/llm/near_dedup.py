@@ -17,7 +17,7 @@
 A link at the threshold is missed only if it shares none of the bands: (1 - 0.75^4)^32, 5 in a million,
 and then only matters if no other link joins the two components.
 
-Cases: null, empty and white-space texts have the empty set and stay alone; fewer words than a
+Cases: ids may be of any type that can be ordered; null, empty and white-space texts have the empty set and stay alone; fewer words than a
 shingle make one shingle of all; repeated rows of one id are one document; a row without an id is
 linked with nothing (null component, not kept); no rows give an empty result.
 """
@@ -228,6 +228,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75, mar
     ``margin`` below the threshold is where estimates end the search: 5 standard deviations of a
     sketch. Cluster numbers of candidates are broadcast while there are ``broadcast_rows`` at most.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return _by_number(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), size=size, threshold=threshold, margin=margin, broadcast_rows=broadcast_rows)
     least = threshold - margin
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(texts.mapInArrow(_sketches(size), "doc_id long, n_shingles long, fp1 long, fp2 long, registers binary"), "sketches")
@@ -297,6 +299,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75, mar
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
+def _by_number(docs: DataFrame, **settings) -> DataFrame:
+    """:func:`near_duplicates` for ids of other types: each id has a number meanwhile, and a group is named by its smallest id."""
+    named = materialise(docs.filter("doc_id is not null").select("doc_id").distinct().withColumn("_number", F.monotonically_increasing_id()), "names")
+    numbered = docs.join(named, "doc_id", "left").select(F.col("_number").alias("doc_id"), "text")
+    found = materialise(near_duplicates(numbered, **settings), "found")
+    group = lambda name: found.select(F.col("doc_id").alias("_number"), "component_id").distinct().join(named, "_number").groupBy("component_id").agg(F.min("doc_id").alias(name))
+    out = found.withColumnRenamed("doc_id", "_number").join(named, "_number", "left").join(group("_name"), "component_id", "left")
+    return out.select("doc_id", "n_shingles", F.col("_name").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_name"), F.lit(False)).alias("kept"))
+
+
 def _paired(rows: DataFrame) -> DataFrame:
     """Each row once for every block pair (i <= j) that its block ``blk`` of ``blocks`` belongs to."""
     if "blk" not in rows.columns:
