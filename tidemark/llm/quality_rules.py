@@ -8,8 +8,8 @@ that keep the ``core`` share of rows with the smallest Mahalanobis distance, and
 smaller determinant. A text is rejected when its distance, scaled down where the group's median exceeds
 that of a chi-square variable, exceeds ``cutoff``.
 
-Groups with fewer than ``min_rows`` texts are pooled by language, then altogether; texts of a pool
-that is still smaller get no verdict and stay. Group parameters are broadcast while there are at
+Groups with fewer than ``min_rows`` texts are pooled by language, then altogether; the last pool is
+judged from ten texts on, and those of a smaller one get no verdict and stay. Group parameters are broadcast while there are at
 most ``broadcast_groups`` of them and joined on a salted key beyond that. Quartiles, core bounds and
 medians are read from counts by bin (``WIDTH`` for statistics, ``LOG_WIDTH`` for the logarithm of a distance):
 equal for every order and partition of the rows, and no task holds the values of a group.
