@@ -604,6 +604,49 @@ def test_potentials_are_trained_and_decide():
     assert np.allclose(f.node, again.node, atol=0.02)
 
 
+def planted(draw):
+    """A text around a card or phone in strict notation, its spans, and the same text with a second notation or a neighbour."""
+    digits = [draw.randrange(10) for _ in range(15)]
+    card = next(c for k in range(10) if pii.luhn(c := "".join(map(str, [*digits, k]))))
+    phone = f"+{draw.randrange(1, 90)} ({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)}"
+    host = ".".join(str(draw.randrange(60, 250)) for _ in range(4))
+    mail = f"u{draw.randrange(999)}@mail{draw.randrange(99)}.example"
+    repeats = [(card, "/".join(card[i : i + 4] for i in range(0, 16, 4))), (phone, "00" + re.sub("[^0-9]", "", phone)), (phone, phone[1:].replace("-", " ")), (host, host.replace(".", "-")), (mail, mail.replace("@", " [at] "))]
+    return draw.choice([(phone, card), (card, phone), (card, card[::-1] if pii.luhn(card[::-1]) else card)]), draw.choice(repeats)
+
+
+def test_masked_spans_teach_neighbours_and_repeats():
+    draw = random.Random(11)
+    texts = []
+    for i in range(300):
+        _, (strict, _) = planted(draw)
+        texts.append(f"write to {strict} or ask for item {10**15 + 2 * i} today")
+    f = pii.SkipChainField.trained(collections.Counter(c for t in texts for c in pii.cases(t)), agreement=0.0)
+    alone = pii.SkipChainField(f.node, 0 * f.chain, 0 * f.skip, f.least_belief)
+    assert (f.skip.diagonal()[1:] > 1).all() and (f.skip - np.diag(f.skip.diagonal()) < 0.2).all()
+    found, by_node, wanted = 0, 0, 0
+    for _ in range(300):
+        side, (strict, other) = planted(draw)
+        for text, spans in ((f"so {side[0]} {side[1]} it is", set(side)), (f"first {strict} and after many more words {other} again", {strict, other})):
+            found += len(spans & {text[s:e] for _, s, e, _ in f.spans(text)})
+            by_node += len(spans & {text[s:e] for _, s, e, _ in alone.spans(text)})
+            wanted += len(spans)
+    assert found >= 0.95 * wanted and by_node < 0.95 * found
+    for text in ("order 12345678 came", "item 1000000000000002 and 1000000000000002", "see 49-30-1234567 there"):
+        assert f.spans(text) == []
+
+
+def test_masks_and_threshold():
+    for label, strict in enumerate(("a.b@c.org", "10.20.30.44", "4111 1111 1111 1111", "+49 (30) 1234-5678"), start=1):
+        assert [k + 1 for k, _, _ in pii.base_spans(strict)] == [label]
+        others = pii.masks(strict, label)
+        assert others and all(not pii.base_spans(o) and [m[2:] for m in pii.mentions(o, [])] == [(-1, pii._content(o, label - 1), pii.shape(o, pii._content(o, label - 1)))] for o in others), strict
+    assert pii.masks("1.2.3.4", 2) == []
+    belief = np.array([[0.1, 0.9, 0, 0, 0], [0.35, 0.65, 0, 0, 0], [0.4, 0.6, 0, 0, 0]])
+    assert pii.threshold(belief, np.array([1, 1, 0]), np.ones(3)) == 0.65
+    assert pii.threshold(belief[:0], np.array([], int), np.array([])) == 0.8
+
+
 def test_loose_mentions_keep_off_base_spans_and_stay_linear():
     locals_ = " ".join(f"a.12-34-5{i}-678.b{i}@x.example.com" for i in range(5))
     nodes = pii.mentions(locals_, pii.base_spans(locals_))

@@ -11,10 +11,14 @@ span of such content. Base spans are evidence; damped loopy message passing over
 the messages rest or ``rounds`` are over, gives beliefs, and a loose mention with a label other than none
 becomes a span when its belief reaches ``least_belief``. A text needs no base span for that.
 
-The potentials are trained on the whole corpus by pseudo-likelihood: the patterns label their own spans,
-other mentions count as none unless their content is that of a base span (these are left out), and
-each node is predicted from its shape and its neighbours' labels. Equal cases are counted in the tasks, so
-what reaches the driver is a table of bounded size. The prior holds equal mentions to agree (``agreement``).
+The potentials are trained on the whole corpus by pseudo-likelihood: each node is predicted from its shape and its
+neighbours' labels. The patterns label their own spans; other mentions count as none unless their content is that
+of a base span (these are left out). Masked spans teach what the patterns cannot see: each base span is taken once
+more in the notations of ``masks``, where its strict look is hidden, and its label must come from its neighbours and
+its like (the one before it, or itself where there is none); without a like the same look counts as none, but
+for cards, whose checksum holds in any notation. A prior that equal mentions agree (``agreement``) serves tables of a few spans.
+``least_belief`` is the threshold of best F1 on the masked cases. Equal cases are counted in the tasks, so what
+reaches the driver is a table of bounded size.
 
 Cases: null and empty texts have no spans; spans of the method never overlap base spans or each other; equal
 mentions are linked in a row and each with one base span, so many repetitions stay linear; repeated rows
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # label 0: none
 SHAPES = 42
+CARD = 3
 ABSENT = LABELS  # no such neighbour
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
@@ -177,8 +182,28 @@ def alike(nodes: list[tuple]) -> list[list[int]]:
     return [own for own in members.values() if len(own) > 1]
 
 
+def masks(text: str, label: int) -> list[str]:
+    """A base span in notations that its pattern refuses."""
+    if label == 1:
+        name, domain = text.split("@")
+        return [f"{name} at {domain.replace('.', ' dot ')}"]
+    digits = _content(text, label - 1)
+    if label == 2:
+        return [text.replace(".", "-")] if len(digits) >= 7 else []
+    if label == 3:
+        return [".".join(digits[i : i + 4] for i in range(0, len(digits), 4))]
+    return [digits, " ".join(digits[i : i + 2] for i in range(0, len(digits), 2)), text.lstrip("+")]
+
+
+def case(shape: int, near: tuple[int, int, int, int], label: int, masked: bool) -> int:
+    """A case as a number: the shape, labels left, right, of the alike before and after, own label, and whether the span was masked."""
+    for x in near:
+        shape = shape * (ABSENT + 1) + x
+    return (shape * LABELS + label) * 2 + masked
+
+
 def cases(text: str) -> Iterator[int]:
-    """What each labelled mention of a text teaches: shape, labels left and right, of the alike before and after, own label."""
+    """What each labelled mention of a text teaches, and each base span in other notations (:func:`case`)."""
     nodes = mentions(text, base_spans(text))
     labels, before, after = [max(n[2], 0) for n in nodes], [ABSENT] * len(nodes), [ABSENT] * len(nodes)
     groups = alike(nodes)
@@ -194,10 +219,25 @@ def cases(text: str) -> Iterator[int]:
         if labels[i] != ABSENT:
             left = labels[i - 1] if i else ABSENT
             right = labels[i + 1] if i + 1 < len(nodes) else ABSENT
-            code = n[4]
-            for x in (left, right, before[i], after[i]):
-                code = code * (ABSENT + 1) + x
-            yield code * LABELS + labels[i]
+            yield case(n[4], (left, right, before[i], after[i]), labels[i], False)
+            for other in masks(text[n[0] : n[1]], n[2]) if n[2] > 0 else ():
+                look = shape(other, _content(other, n[2] - 1))
+                like = labels[i] if before[i] == after[i] == ABSENT else before[i]
+                yield case(look, (left, right, like, after[i]), labels[i], True)
+                if n[2] != CARD:
+                    yield case(look, (left, right, ABSENT, ABSENT), 0, True)
+
+
+def threshold(belief: np.ndarray, own: np.ndarray, n: np.ndarray) -> float:
+    """The least belief (0.5 to 0.95, by 0.05) of best F1 on weighted cases with known labels; the smallest of equals, 0.8 without any."""
+    best, said, top = (-1.0, 0.8), belief.argmax(axis=1), belief.max(axis=1)
+    for least in np.arange(10, 20) / 20 if n[own > 0].sum() else ():
+        named = (said > 0) & (top >= least)
+        right = n[named & (said == own)].sum()
+        f1 = 2 * right / (n[named].sum() + n[own > 0].sum())
+        if f1 > best[0] + 1e-12:
+            best = (float(f1), float(least))
+    return best[1]
 
 
 class SkipChainField:
@@ -208,16 +248,18 @@ class SkipChainField:
         self.least_belief, self.rounds, self.tolerance = least_belief, rounds, tolerance
 
     @classmethod
-    def trained(cls, counted: dict[int, int], agreement: float = 4.0, strength: float = 1.0, steps: int = 3000) -> SkipChainField:
+    def trained(cls, counted: dict[int, int], agreement: float = 4.0, least_belief: float | None = None, strength: float = 1.0, steps: int = 3000) -> SkipChainField:
         """Most likely potentials for the counted cases, under a normal prior of precision ``strength``.
 
-        Each step divides the slope by a bound of the curvature, so the likelihood never falls.
+        Each step divides the slope by a bound of the curvature, so the likelihood never falls. Without ``least_belief``
+        the threshold is the one of best F1 on the masked cases, and 0.8 where there are none.
         """
         prior = np.zeros((SHAPES + 2 * (ABSENT + 1), LABELS))
         prior[SHAPES + ABSENT + 1 + np.arange(1, LABELS), np.arange(1, LABELS)] = agreement
         theta = prior.copy()
         code = np.array(list(counted), np.int64)
         n = np.array(list(counted.values()), float)
+        masked, code = code % 2 == 1, code // 2
         own, parts = code % LABELS, code // LABELS
         near = []
         for _ in range(4):
@@ -241,7 +283,11 @@ class SkipChainField:
             if np.abs(pace[:, None] * slope).max() < 1e-6:
                 break
         both = lambda m: (m[:LABELS] + m[:LABELS].T) / 2  # noqa: E731  one potential for an edge, whichever end asks
-        return cls(theta[:SHAPES], both(theta[SHAPES:]), both(theta[SHAPES + ABSENT + 1 :]))
+        if least_belief is None:
+            logits = sum(theta[r[masked]] for r in rows)
+            belief = np.exp(logits - np.logaddexp.reduce(logits, axis=1)[:, None])
+            least_belief = threshold(belief, own[masked], n[masked])
+        return cls(theta[:SHAPES], both(theta[SHAPES:]), both(theta[SHAPES + ABSENT + 1 :]), least_belief)
 
     def added(self, nodes: list[tuple]) -> list[tuple[int, int, int]]:
         """(kind number, start, end) of loose mentions that take a label."""
@@ -284,7 +330,7 @@ class SkipChainField:
 
 
 def fit(docs: DataFrame, text_col: str = "text", **settings) -> SkipChainField:
-    """Counts the cases of all texts and trains the potentials; at most SHAPES * 6^4 * 5 kinds of cases."""
+    """Counts the cases of all texts and trains the potentials; at most SHAPES * 6^4 * 5 * 2 kinds of cases."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
