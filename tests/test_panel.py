@@ -62,6 +62,29 @@ def test_features_by_blocks_equal_those_over_whole_histories(spark):
     assert blocks == 15  # a window never sees more than a block and its look-back
 
 
+def test_sliding_median_equals_the_definition_and_needs_no_shuffle_of_its_own(spark):
+    import statistics
+
+    draw, rows = random.Random(8), []
+    for t in "ABC":
+        for i in sorted(draw.sample(range(60), 40)):
+            rows.append((START + datetime.timedelta(days=i), t, draw.choice([None, float(draw.randint(0, 6)), draw.random() * 9]), "kept"))
+    df = spark.createDataFrame([*rows, (START, "none", None, "kept")], "date date, ticker string, v double, other string")
+    for window in (1, 2, 7, 200):
+        got = {(r.ticker, r.date): r for r in features.sliding_median(df, F.col("v"), window, "m").collect()}
+        assert len(got) == len(rows) + 1 and got["none", START].m is None and {r.other for r in got.values()} == {"kept"}
+        for t in "ABC":
+            own = [r for r in rows if r[1] == t]
+            for i, (date, _, v, _) in enumerate(own):
+                known = [x[2] for x in own[max(0, i - window + 1) : i + 1] if x[2] is not None]
+                assert got[t, date].v == v
+                assert got[t, date].m == (pytest.approx(statistics.median(known)) if known else None), (t, i, window)
+    assert features.sliding_median(df.limit(0), F.col("v"), 3, "m").collect() == []
+    market_rows = market(spark, walks(4, 30, ["AA", "BB"]))
+    plan = features.rolling_features(market_rows, SMALL, slide=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_average_rank_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, 1.0), (1, None)], "d int, x double")
     got = sorted((r.x is None, r.x or 0, r.r) for r in df.select("x", average_rank(F.col("x"), "d").alias("r")).collect())

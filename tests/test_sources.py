@@ -59,6 +59,83 @@ def test_tables_of_a_page(spark):
     assert len(pages.page_fingerprints(found).first().fingerprint) == 16
 
 
+def rows_of_tokens(tokens):
+    """What a page of these tokens holds, by the definition: (table, row, header, cells, links), all tables kept whole."""
+    tables, stack, row, links = [], [], None, []
+
+    def end_row():
+        nonlocal row, links
+        if row is not None and stack:
+            tables[stack[-1]].append(([" ".join("".join(c).split()) for c in row], links))
+        row, links = None, []
+
+    for kind, value in tokens:
+        if kind in ("table", "/table", "/tr") or (kind == "tr" and stack):
+            end_row()
+        if kind == "table":
+            tables.append([])
+            stack.append(len(tables) - 1)
+        elif kind == "/table" and stack:
+            stack.pop()
+        elif kind == "tr" and stack:
+            row = []
+        elif kind == "td" and row is not None:
+            row.append([])
+        elif kind == "a" and row is not None:
+            links.append(value)
+        elif kind == "text" and row:
+            row[-1].append(value)
+    end_row()
+    return [(t, r, rows[0][0], cells, hrefs) for t, rows in enumerate(tables) for r, (cells, hrefs) in enumerate(rows)]
+
+
+def test_rows_of_random_nested_and_broken_pages(spark):
+    import html
+    import random
+
+    draw, texts = random.Random(9), []
+    for n in range(400):
+        tokens = [(draw.choices(["table", "/table", "tr", "/tr", "td", "/td", "a", "text"], [2, 1, 5, 3, 8, 2, 1, 9])[0], draw.choice(["x", "a & b", " two  words ", "<i>", "é\n1", "&amp;", ""])) for _ in range(draw.randrange(60))]
+        page = "".join(f"<a href='{html.escape(v)}'>" if k == "a" else html.escape(v) if k == "text" else f"<{k} class='c>d'>" if k[0] != "/" else f"<{k}>" for k, v in tokens)
+        page = page.replace("<tr class", "<!-- <td> --><TR class") if n % 3 else page
+        want = rows_of_tokens([(k, v) for k, v in tokens if k != "a" or v])
+        texts.append((n, page, want))
+        for piece in (1, 7, 1 << 16):
+            assert sorted(pages.rows_of(page, piece)) == want, (n, piece)
+    df = spark.createDataFrame([(n, page) for n, page, _ in texts] + [(None, None), (-1, "")], "page_id int, html string")
+    got = sorted(tuple(r) for r in pages.html_tables(df).collect())
+    assert got == sorted((n, t, r - 1, header, cells) for n, _, want in texts for t, r, header, cells, _ in want if r and len(cells) == len(header))
+    linked = sorted((r.page_id, r.row_no, r.text, r.hrefs) for r in pages.linked_rows(df, 1).collect())
+    assert linked == sorted((n, i, " ".join(filter(None, cells))[:110], hrefs) for n, _, want in texts for i, (_, _, _, cells, hrefs) in enumerate(want) if hrefs and any(cells))
+    for broken in ("<table><tr><td>1<td>2<tr><td>3<td>4<a href='", "<table><tr><td>1<td>2<tr><td>3<td>4<!-- ", "<table><tr><td>1<td>2<tr><td>3<td>4<"):
+        whole = list(pages.rows_of(broken + "x" * 500, 1 << 16))
+        assert [c for *_, c, _ in whole][0] == ["1", "2"] and list(pages.rows_of(broken + "x" * 500, 3)) == whole
+
+
+def test_long_pages_are_read_in_bounded_memory_and_linear_time():
+    import time
+    import tracemalloc
+
+    page = "<table>" + "<tr><td>abcdefgh</td><td>12345678</td><td>1 200,5</td></tr>" * 170_000 + "</table>"
+    assert len(page) > 10_000_000
+    tracemalloc.start()
+    n = sum(1 for _ in pages.rows_of(page))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 170_000 and peak < 4_000_000  # the page's rows take some 100 MB together
+    start = time.time()
+    for tail in ("<!-- ", "<a href='", "&"):
+        assert len(list(pages.rows_of("<table><tr><td>1</td></tr>" + tail + "x" * 10_000_000))) == 1
+    assert time.time() - start < 60
+
+
+def test_rows_of_several_batches_all_arrive(spark):
+    page = "<table>" + "<tr><td>abcdefgh</td><td>12345678</td></tr>" * 8000 + "</table>"  # more than a megabyte of rows
+    df = spark.createDataFrame([(i, page) for i in range(3)], "page_id long, html string").coalesce(1)
+    got = pages.html_tables(df).groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("row_no").alias("numbers"), F.max("row_no").alias("last")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 7999, 7999, 7998) for i in range(3)]
+
+
 def test_paging_ends_where_pages_repeat_or_bring_nothing(spark):
     seen = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "page_id long, fingerprint string")
     assert sorted(r.page_id for r in pages.before_repetition(seen).collect()) == [1, 2]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +53,41 @@ def with_log_return(panel: DataFrame) -> DataFrame:
     return panel.withColumn("log_return", log - F.lag(log).over(by_ticker()))
 
 
-def rolling_features(panel: DataFrame, settings: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """Adds momentum, trend, volatility and liquidity to the dense panel, for all sessions."""
-    return with_log_return(panel).withColumns({
+def sliding_median(panel: DataFrame, value: Column, window: int, into: str) -> DataFrame:
+    """Adds the median of ``value`` over the up to ``window`` sessions of a ticker that end with the row; nulls are left out.
+
+    A ticker's sessions become one array, and a task keeps the order statistics of the sliding window (a skip list: one value
+    enters, one leaves), so a row costs about the same for any window, where a window function sorts all its values anew.
+    Only the values go to Python. On long histories call it inside :func:`in_blocks`, so that an array is a block.
+    NaN and infinite values count as missing; sessions of a ticker are distinct; no rows give no rows.
+    """
+
+    @F.pandas_udf("array<double>")
+    def medians(histories: pd.Series) -> pd.Series:
+        return histories.map(lambda v: pd.Series(v, dtype="float64").rolling(window, min_periods=1).median().to_numpy())
+
+    rest = [c for c in panel.columns if c not in ("ticker", into)]
+    rows = panel.withColumn("_value", value.cast("double")).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "_value", F.struct(*rest).alias("_rest")))).alias("_rows"))
+    rows = rows.withColumn("_medians", medians(F.transform("_rows", lambda r: r["_value"])))
+    each = rows.select("ticker", F.explode(F.arrays_zip("_rows", "_medians")).alias("_at"))
+    median = F.col("_at._medians")
+    return each.select("ticker", "_at._rows._rest.*", F.when(~F.isnan(median), median).alias(into)).select(*[c for c in panel.columns if c != into], into)
+
+
+def rolling_features(panel: DataFrame, settings: FeatureSettings = FeatureSettings(), slide: bool = False) -> DataFrame:
+    """Adds momentum, trend, volatility and liquidity to the dense panel, for all sessions.
+
+    ``slide`` takes liquidity from :func:`sliding_median`, for long windows; it comes last, so that it groups rows where the windows
+    have them, without a shuffle of its own.
+    """
+    out = with_log_return(panel).withColumns({
         "momentum": momentum(settings.momentum, settings.skip),
         "trend": trend(settings.short_mean, settings.long_mean),
         "volatility": volatility(settings.volatility, settings.sessions_a_year),
-        "liquidity": liquidity(settings.liquidity),
     }).drop("log_return")
+    if slide:
+        return sliding_median(out, F.coalesce("volume_value", F.lit(0.0)), settings.liquidity, "liquidity")
+    return out.withColumn("liquidity", liquidity(settings.liquidity))
 
 
 def in_blocks(panel: DataFrame, sessions: DataFrame, build: Callable[[DataFrame], DataFrame], size: int, back: int, ahead: int = 0) -> DataFrame:
@@ -77,9 +105,9 @@ def in_blocks(panel: DataFrame, sessions: DataFrame, build: Callable[[DataFrame]
     return own.withColumn("ticker", F.col("ticker.ticker")).drop("_n", "_block")
 
 
-def blocked_features(panel: DataFrame, sessions: DataFrame, settings: FeatureSettings = FeatureSettings(), size: int = 1000) -> DataFrame:
+def blocked_features(panel: DataFrame, sessions: DataFrame, settings: FeatureSettings = FeatureSettings(), size: int = 1000, slide: bool = True) -> DataFrame:
     """:func:`rolling_features` of long histories, by blocks of sessions."""
-    return in_blocks(panel, sessions, lambda rows: rolling_features(rows, settings), size, settings.look_back)
+    return in_blocks(panel, sessions, lambda rows: rolling_features(rows, settings, slide), size, settings.look_back)
 
 
 def predictors(scale: FeatureSettings = FeatureSettings()) -> dict[str, Callable[[], Column]]:

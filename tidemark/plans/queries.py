@@ -145,6 +145,12 @@ def rolling_features(spark, d):
     return features_of(spark, d).select("date", "ticker", "momentum", "trend", "volatility", "liquidity")
 
 
+@query(f"WITH {LOGS} SELECT CAST(date AS VARCHAR) AS date, ticker, round(quantile_cont(coalesce(volume_value, 0), 0.5) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 6) AS liquidity FROM logs")
+def sliding_liquidity(spark, d):
+    """Median traded value of up to sixty sessions, from order statistics kept over the sliding window."""
+    return features.sliding_median(panel_of(spark, d), F.coalesce("volume_value", F.lit(0.0)), 60, "liquidity").select("date", "ticker", "liquidity")
+
+
 @query(f"WITH {FEATS} SELECT CAST(date AS VARCHAR) AS date, ticker, round(momentum, 6) AS momentum, round(trend, 6) AS trend, round(volatility, 6) AS volatility, round(liquidity, 6) AS liquidity FROM feats WHERE date = (SELECT max(date) FROM feats)")
 def latest_features(spark, d):
     return features.latest(features_of(spark, d)).select("date", "ticker", "momentum", "trend", "volatility", "liquidity")

@@ -1,15 +1,18 @@
 """Rows out of landed pages and payloads: HTML tables, link lists, quote histories.
 
 Pages arrive as a table (page_id, html, ...); the only Python is the reading of ``<table>`` elements, page
-by page in tasks. All that follows (recognising columns, numbers, dates, choosing) is DataFrame code.
+by page in tasks and piece by piece of a page. All that follows (recognising columns, numbers, dates, choosing) is DataFrame code.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,81 +36,120 @@ DIVIDEND_ALIASES = {
 HISTORY_ALIASES = {"date": ["date", "seance"], "open": ["ouverture", "open"], "high": ["plus haut", "high"], "low": ["plus bas", "low"], "close": ["cloture", "dernier", "close"], "volume": ["volume", "quantite"]}
 
 
-class _Tables(HTMLParser):
-    """Rows of every table of a page; a nested table's rows belong to itself."""
+class _Rows(HTMLParser):
+    """Rows of every table of a page, in the order in which they end; a nested table's rows belong to itself.
 
-    def __init__(self, html: str):
+    Only the open row and the headers of the open tables are held; the reader takes ``done`` after each piece.
+    """
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[list[tuple[bool, list[str], list[str]]]] = []
-        self.stack: list[int] = []
+        self.done: list[tuple[int, int, list[str], list[str], list[str]]] = []  # table, row (0: the header), header, cells, links
+        self.tables = 0
+        self.open: list[list] = []  # of each open table: number, rows so far, header
         self.row: list[list[str]] | None = None
         self.links: list[str] = []
-        self.head = True
-        self.feed(html)
-        self.close()
-        self.end_row()
 
     def end_row(self) -> None:
-        if self.row is not None and self.stack:
-            self.tables[self.stack[-1]].append((self.head, [" ".join("".join(c).split()) for c in self.row], self.links))
+        if self.row is not None and self.open:
+            table = self.open[-1]
+            cells = [" ".join("".join(c).split()) for c in self.row]
+            if not table[1]:
+                table[2] = cells
+            self.done.append((table[0], table[1], table[2], cells, self.links))
+            table[1] += 1
         self.row, self.links = None, []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
             self.end_row()
-            self.tables.append([])
-            self.stack.append(len(self.tables) - 1)
-        elif tag == "tr" and self.stack:
+            self.open.append([self.tables, 0, []])
+            self.tables += 1
+        elif tag == "tr" and self.open:
             self.end_row()
-            self.row, self.head = [], True
+            self.row = []
         elif tag in ("td", "th") and self.row is not None:
             self.row.append([])
-            self.head &= tag == "th"
         elif tag == "a" and self.row is not None and dict(attrs).get("href"):
             self.links.append(dict(attrs)["href"])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("tr", "table"):
             self.end_row()
-        if tag == "table" and self.stack:
-            self.stack.pop()
+        if tag == "table" and self.open:
+            self.open.pop()
 
     def handle_data(self, data: str) -> None:
         if self.row:
             self.row[-1].append(data)
 
 
+def rows_of(html: str, piece: int = 1 << 16) -> Iterator[tuple[int, int, list[str], list[str], list[str]]]:
+    """The rows of a page, read piece by piece: beside the page only a piece and its rows are held.
+
+    A piece is as long as what the parser could not finish, so a page that never closes a tag is still read in linear time.
+    """
+    parser, at = _Rows(), 0
+    while at < len(html):
+        step = max(piece, len(parser.rawdata))
+        parser.feed(html[at : at + step])
+        at += step
+        yield from parser.done
+        parser.done = []
+    parser.close()
+    parser.end_row()
+    yield from parser.done
+
+
+def page_by_page(pages: DataFrame, read: Callable[[str], Iterator[tuple]], kinds: dict[str, pa.DataType], schema: str, batch_bytes: int = 1 << 20) -> DataFrame:
+    """The rows that ``read`` gives for each page (null: empty), after its ``page_id``, in batches of about ``batch_bytes``.
+
+    One page at a time leaves its Arrow batch, and its rows go on as they come, so a task holds one page and one batch of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.schema(list(kinds.items()))
+        held, size = [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*held, strict=True), wanted.types, strict=True)], schema=wanted)
+        for batch in batches:
+            for page, html in zip(batch.column(0), batch.column(1), strict=True):
+                for row in read(html.as_py() or ""):
+                    held.append((page.as_py(), *row))
+                    size += 64 + sum(len(v) + 8 for x in row if not isinstance(x, int) for v in ([x] if isinstance(x, str) else x))
+                    if size >= batch_bytes:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, schema)
+
+
 def html_tables(pages: DataFrame) -> DataFrame:
     """Rows of all tables as text. The first row is the header; rows of another width are dropped, and
     tables without further rows are ignored."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, html in zip(frame["page_id"], frame["html"], strict=True):
-                for t, rows in enumerate(_Tables(html).tables if html else []):
-                    if len(rows) > 1:
-                        header = rows[0][1]
-                        out += [(page, t, r, header, cells) for r, (_, cells, _) in enumerate(rows[1:]) if len(cells) == len(header)]
-            yield pd.DataFrame(out, columns=["page_id", "table_no", "row_no", "header", "cells"])
+    def read(html: str) -> Iterator[tuple]:
+        return ((t, r - 1, header, cells) for t, r, header, cells, _ in rows_of(html) if r and len(cells) == len(header))
 
-    return pages.select("page_id", "html").mapInPandas(run, TABLES)
+    texts = pa.list_(pa.string())
+    return page_by_page(pages, read, {"page_id": pa.int64(), "table_no": pa.int32(), "row_no": pa.int32(), "header": texts, "cells": texts}, TABLES)
 
 
 def linked_rows(pages: DataFrame, least_cells: int = 4, cut: int = 110) -> DataFrame:
-    """Table rows that carry links and have enough filled cells, as one text."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, html in zip(frame["page_id"], frame["html"], strict=True):
-                for r, (_, cells, links) in enumerate(row for table in (_Tables(html).tables if html else []) for row in table):
-                    filled = [c for c in cells if c]
-                    if links and len(filled) >= least_cells:
-                        out.append((page, r, " ".join(filled)[:cut], links))
-            yield pd.DataFrame(out, columns=["page_id", "row_no", "text", "hrefs"])
-
-    return pages.select("page_id", "html").mapInPandas(run, LINKS)
+    """Table rows that carry links and have enough filled cells, as one text; rows are numbered through the page, table after table."""
+
+    def read(html: str) -> Iterator[tuple]:
+        kept, sizes = [], Counter()
+        for t, r, _, cells, links in rows_of(html):
+            sizes[t] += 1
+            filled = [c for c in cells if c]
+            if links and len(filled) >= least_cells:
+                kept.append((t, r, " ".join(filled)[:cut], links))
+        before = dict(zip(sorted(sizes), accumulate((sizes[t] for t in sorted(sizes)), initial=0), strict=False))
+        return ((before[t] + r, text, links) for t, r, text, links in sorted(kept, key=lambda row: row[:2]))
+
+    return page_by_page(pages, read, {"page_id": pa.int64(), "row_no": pa.int32(), "text": pa.string(), "hrefs": pa.list_(pa.string())}, LINKS)
 
 
 def recognised(header: list[str], aliases: dict[str, list[str]]) -> list[int | None]:
