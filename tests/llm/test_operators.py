@@ -578,6 +578,28 @@ def exact_beliefs(f, nodes):
     return total / total.sum(axis=1, keepdims=True)
 
 
+def test_language_counts_do_not_depend_on_when_they_are_flushed():
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdefg éñ") for _ in range(draw.choice([0, 3, 80, 4000]))) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7]), pa.array([("en", "fr", "es")[j % 3] for j in range(len(texts[i : i + 7]))])], ["text", "lang"]) for i in range(0, 60, 7)]
+
+    def counts(most):
+        out, sent = collections.Counter(), 0
+        for batch in language_id._count(iter(batches), most):
+            sent += batch.num_rows
+            for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out[lang, gram] += n
+        return out, sent
+
+    whole, distinct = counts(10**9)
+    assert distinct == len(whole) > 5000
+    for most in (1, 1000, 20_000):
+        got, sent = counts(most)
+        assert got == whole and (sent > distinct or most > 2 * distinct)
+
+
 def test_messages_equal_enumeration():
     draw = np.random.default_rng(1)
     f = field(draw.normal(size=(pii.SHAPES, pii.LABELS)))

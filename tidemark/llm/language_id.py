@@ -77,28 +77,41 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.nd
         a = b
 
 
-def _count(batches: Iterator) -> Iterator:
-    """(lang, gram, n) of one partition."""
+def _count(batches: Iterator, most_pairs: int = 1_500_000) -> Iterator:
+    """(lang, gram, n) of one partition. At ``most_pairs`` pairs of all languages equal n-grams are added up; where that leaves more than
+    half, they go to the shuffle and counting starts anew, so memory does not grow with the partition and each pair is sorted twice or so."""
     import pyarrow as pa
 
     held: dict[str, list] = {}
+    size = 0
 
     def shrink(pairs: list) -> list:
         g, where = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
         return [(g, np.bincount(where, np.concatenate([p[1] for p in pairs]), len(g)).astype(np.int64))]
 
+    def rows() -> Iterator:
+        for name, pairs in held.items():
+            for g, n in shrink(pairs):
+                for a in range(0, len(g), 100_000):
+                    some = g[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some.view(np.int64)), pa.array(n[a : a + 100_000])], ["lang", "gram", "n"])
+
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
         for a, b, hashes, owner, _ in grams(batch.column(0).to_pylist()):
             names, number = np.unique(langs[a:b].astype(str), return_inverse=True)
             of = number[owner]
             for i, name in enumerate(names):
-                held.setdefault(name, []).append(np.unique(hashes[of == i], return_counts=True))
-                if sum(len(p[0]) for p in held[name]) > 300_000:
-                    held[name] = shrink(held[name])
-    for name, pairs in held.items():
-        g, n = shrink(pairs)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                own = np.unique(hashes[of == i], return_counts=True)
+                held.setdefault(name, []).append(own)
+                size += len(own[0])
+            if size > most_pairs:
+                held = {name: shrink(pairs) for name, pairs in held.items()}
+                size = sum(len(pairs[0][0]) for pairs in held.values())
+                if size > most_pairs // 2:
+                    yield from rows()
+                    held, size = {}, 0
+    yield from rows()
 
 
 @dataclass
