@@ -21,9 +21,11 @@ BROADCAST_IDS = 1_000_000
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier predicts as 0."""
     bounded_batches(spark)
-    stats = materialise(quality_classifier.with_statistics(docs), "statistics")
-    model = quality_classifier.fit(stats, table(spark, sf_dir, "labels"))
-    return docs.filter(model.of_text("text") >= 0.3)
+    own = next(name for name in ("_stats", "_stats_of_docs", "_stats_of_all_docs") if name not in docs.columns)
+    # every text is read once: its statistics stay in its row, so that only they go to Python again
+    known = materialise(quality_classifier.beside_statistics(docs, own), "statistics")
+    model = quality_classifier.fit(known.select("doc_id", F.col(own).alias("stats")), table(spark, sf_dir, "labels"))
+    return known.filter(model.of_stats(own) >= 0.3).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

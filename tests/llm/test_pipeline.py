@@ -1,6 +1,10 @@
 """Each stage of the pipeline against plain code on a small corpus."""
 
 import random
+import tracemalloc
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import pii, quality_classifier
@@ -49,3 +53,24 @@ def test_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_statistics_of_texts_once_and_in_small_steps(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(i, words(draw, 50) + (" ###" * 30 if i % 3 == 0 else ""), None, None, i) for i in range(60)] + [(None, None, "aa", "s", None), (1, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, KIND)
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stats = quality_classifier.with_statistics(docs).collect()
+    beside = quality_classifier.beside_statistics(docs, "own").collect()
+    assert [(r.doc_id, r.own) for r in beside] == [(r.doc_id, r.stats) for r in stats] and [tuple(r)[:5] for r in beside] == rows
+    kept = corpus_pipeline.keep_quality(spark, docs.withColumn("_stats", F.lit("x")), str(tmp_path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [run(_stats_of_docs#" in plan and "run(text#" not in plan and "run(coalesce(text#" not in plan
+    assert kept.columns == [*docs.columns, "_stats"] and {r.n_chars for r in kept.collect()} >= {i for i in range(60) if i % 3}
+
+    text = np.frombuffer(words(draw, 400_000).encode()[: 2 << 20], np.uint8)
+    tracemalloc.start()
+    got = quality_classifier.statistics(text, np.arange(0, len(text) + 1, 4096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and np.array_equal(got[7], quality_classifier.statistics(text[7 * 4096 : 8 * 4096], np.array([0, 4096]))[0])

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, id_crc, materialise, steps, sum_vectors, utf8_parts
 
@@ -35,6 +36,8 @@ _LINE[0x0A] = False
 _CLASSES = [np.isin(np.arange(256), list(c)) for c in (b"#*$%&|<>", range(0x41, 0x5B), b"!", b"|", range(0x30, 0x3A), b".,;:?", b"\n")]
 _OTHER = np.arange(256) >= 0x80
 _LETTER = np.isin(np.arange(256) | 0x20, list(range(0x61, 0x7B))) | _OTHER
+#: Bytes of text that one step of the statistics handles: it holds some fifty times as much.
+_STEP = 256 << 10
 
 
 def _repeats(hashes: np.ndarray) -> tuple[int, int, int]:
@@ -48,7 +51,7 @@ def _repeats(hashes: np.ndarray) -> tuple[int, int, int]:
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of STATISTICS for each text."""
     out = np.zeros((len(offsets) - 1, len(STATISTICS)))
-    for a, b in steps(offsets):
+    for a, b in steps(offsets, _STEP):
         part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         words, lines = Words(part, off), Words(part, off, _LINE)
         counts = lambda flags, at=off: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
@@ -79,6 +82,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lists(texts):
+    """An Arrow column of one array of STATISTICS for each text."""
+    import pyarrow as pa
+
+    flat = statistics(*utf8_parts(texts))
+    return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), pa.array(flat.ravel()))
+
+
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats) with one array of STATISTICS for each row."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -87,13 +98,24 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import pyarrow as pa
 
         for batch in batches:
-            flat = statistics(*utf8_parts(batch.column(1)))
-            lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(batch.column(1))], ["doc_id", "stats"])
 
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, stats array<double>")
 
 
+def beside_statistics(docs: DataFrame, column: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and, as ``column``, one array of STATISTICS for each row."""
+    at, names = docs.columns.index(text_col), [*docs.columns, column]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(batch.column(at))], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))]))
+
+
 @dataclass
 class Features:
     """Standardisation and random Fourier features; the frequencies follow from the seed."""
@@ -133,17 +155,6 @@ class QualityModel:
 
         return run(column)
 
-    def of_text(self, column: str = "text") -> Column:
-        model = self
-
-        @F.pandas_udf("double")
-        def run(texts: pd.Series) -> pd.Series:
-            data = [(t or "").encode() for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
-            return pd.Series(model.score(statistics(np.frombuffer(b"".join(data), np.uint8), offsets)), dtype=float)
-
-        return run(F.coalesce(F.col(column), F.lit("")))
-
 
 def isotonic(values: np.ndarray, ones: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Pool adjacent violators: the closest non-decreasing shares, in the order of ``values``."""
