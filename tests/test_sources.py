@@ -354,3 +354,17 @@ def test_country_suffixes_and_refused_payloads(spark):
     assert [(str(r.date), r.close) for r in pages.history_payload(named).collect()] == [("2024-01-05", 1.5)]
     with pytest.raises(ValueError, match="column"):
         archive.upsert(archive.empty(spark, "quotes"), archive.empty(spark, "quotes"), "quotes")
+
+
+def test_pages_of_one_row_group_are_read_by_all_tasks(spark, tmp_path):
+    """One file with one row group is one task of the scan, whatever its rows cost; copies of one page are dealt as well."""
+    row = "<tr><td>a</td><td>b</td><td>c</td><td><a href='x'>d</a></td></tr>"
+    spark.createDataFrame([(i % 2, f"<table>{row * 2}</table>") for i in range(400)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    landed = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows, n in ((pages.linked_rows(landed), 800), (pages.html_tables(landed), 400)):
+            sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+            assert len(sizes) == 4 and sum(r[1] for r in sizes) == n and max(r[1] for r in sizes) < n / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

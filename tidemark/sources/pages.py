@@ -105,6 +105,7 @@ def page_by_page(pages: DataFrame, read: Callable[[str], Iterator[tuple]], kinds
     """The rows that ``read`` gives for each page (null: empty), after its ``page_id``, in batches of about ``batch_bytes``.
 
     One page at a time leaves its Arrow batch, and its rows go on as they come, so a task holds one page and one batch of rows.
+    Pages are dealt to tasks anew: a file of small rows has few row groups, and reading a page takes far longer than moving it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,7 @@ def page_by_page(pages: DataFrame, read: Callable[[str], Iterator[tuple]], kinds
         if held:
             yield flush()
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, schema)
+    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).hint("rebalance").mapInArrow(run, schema)
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
