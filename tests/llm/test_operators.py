@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontaminate, html_extract, language_id, lm_mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from tidemark.llm import common, decontaminate, html_extract, language_id, lm_mixing, near_dedup, packing, pii, quality_classifier, quality_rules, queries, sharding
 from tidemark.llm.queries import tokenizer_path
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, shard string, component_id string, row string, part int, score string"
@@ -773,3 +773,16 @@ def test_pages_are_read_like_a_regular_expression_reads_them(spark):
         inner = re.search("<article>(.*)</article>", rows[r.page_id][2])[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_base_of_the_language_model_without_training(spark, rows, monkeypatch):
+    docs = table(spark, [*rows[:60], (None, None, None, None), (7, "", "aa", None)])
+    base = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    plain = lambda scored: sorted(((*r[:5], round(r[5], 9)) for r in scored.select(base).collect()), key=str)
+    full = plain(lm_mixing.lm_scores(docs, most_words=20))
+    refuse = lambda *_: pytest.fail("the base needs no model")
+    monkeypatch.setattr(lm_mixing, "train", refuse)
+    alone = lm_mixing.lm_scores(docs, most_words=20, group_col=None, with_model=False)
+    assert alone.columns == base and plain(alone) == full
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert queries.language_model_base(spark, "").count() == docs.count()

@@ -174,17 +174,22 @@ def _hash32(*parts: np.ndarray) -> np.ndarray:
     return (_hash64(*parts) >> np.uint64(32)).astype(np.uint32)
 
 
+def tokens_of(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of each token of ``n`` texts, and where words and end tokens are; each text ends with its end token."""
+    word_at, end_at = np.arange(len(w)) + w.row, w.of_row[1:] + np.arange(n)
+    hashes, doc = np.full(len(w) + n, END_HASH), np.empty(len(w) + n, np.int64)
+    hashes[word_at] = w.hash.view(np.int64)
+    doc[word_at], doc[end_at] = w.row, np.arange(n)
+    return hashes, doc, word_at, end_at
+
+
 class Symbols:
     """The symbols of several texts: distinct ones of each kind, and which of them each token is made of."""
 
     def __init__(self, w: Words, offsets: np.ndarray, alphabet: Alphabet, follow: np.ndarray):
         n = len(offsets) - 1
-        word_at = np.arange(len(w)) + w.row  # each text ends with its end token
-        size = len(w) + n
-        hashes, doc = np.full(size, END_HASH), np.empty(size, np.int64)
-        hashes[word_at] = w.hash.view(np.int64)
-        end_at = w.of_row[1:] + np.arange(n)
-        doc[word_at], doc[end_at] = w.row, np.arange(n)
+        hashes, doc, word_at, end_at = tokens_of(w, n)
+        size = len(hashes)
         first = np.append(0, end_at[:-1] + 1)
         place = np.arange(size) - first[doc]
         self.n, self.hash, self.doc, self.word = n, hashes, doc, alphabet.find(hashes)
@@ -585,13 +590,14 @@ def train(texts: DataFrame, alphabet: Alphabet, tokens: int, task_bytes: int, mo
 
 def lm_scores(
     docs: DataFrame, least_rate: float = 2.0**-23, groups: int = 7, task_bytes: int = 256 << 20, most_bits: int = 21, learners: int = 8, least_bytes: int = 8 << 20, most_words: int = 1 << 20,
-    id_col: str = "doc_id", text_col: str = "text", group_col: str | None = "lang",
+    id_col: str = "doc_id", text_col: str = "text", group_col: str | None = "lang", with_model: bool = True,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     ``group_col`` parts the training texts only: its ``groups`` most frequent values, and the rest. The
     alphabet has ``most_words`` words at most, those of the highest counts, whatever the size of the corpus; it and the
     tables are what is broadcast. Counts of all other training words reach their documents by a join.
+    Without ``with_model`` nothing is trained, and score and bits_per_byte are left out; the base needs counts only.
     """
     spark = docs.sparkSession
     group = F.col(group_col).cast("string") if group_col in docs.columns else F.lit(None).cast("string")
@@ -617,7 +623,7 @@ def lm_scores(
         frequent.loc[len(frequent)] = [END_HASH, 1, *[0] * len(counts)]
     known_n = frequent["n"].to_numpy(np.int64)
     alphabet = Alphabet(frequent["hash"].to_numpy(np.int64), known_n, frequent[counts].to_numpy(np.float64), tokens)
-    model = train(train_texts.select("doc_id", "text"), alphabet, tokens, task_bytes, most_bits, learners, least_bytes)
+    model = train(train_texts.select("doc_id", "text"), alphabet, tokens, task_bytes, most_bits, learners, least_bytes) if with_model else None
     shared = spark.sparkContext.broadcast((model, alphabet))
     floor = tokens + distinct + 1
     # the end token is in the alphabet even where training has none
@@ -636,17 +642,22 @@ def lm_scores(
             data, offsets = utf8_parts(batch.column(2))
             for a, b in steps(offsets):
                 own = offsets[a : b + 1] - offsets[a]
-                symbols = Symbols(Words(data[offsets[a] : offsets[b]], own), own, alphabet, model.follow)
-                n, of, word = b - a, symbols.doc, symbols.word
+                n, words = b - a, Words(data[offsets[a] : offsets[b]], own)
+                if model is None:
+                    hashes, of, *_ = tokens_of(words, n)
+                    word, scores = alphabet.find(hashes), np.zeros(n)
+                else:
+                    symbols = Symbols(words, own, alphabet, model.follow)
+                    hashes, of, word, scores = symbols.hash, symbols.doc, symbols.word, model.run(symbols)
                 known = (word >= 0) & (np.append(in_base, 0).take(word) > 0)
                 ids = np.arange(row, row + n)
                 none = lambda kind, size: pa.nulls(size, kind)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids), batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(np.bincount(of, minlength=n)), pa.array(np.bincount(of[known], minlength=n)),
-                    pa.array(np.bincount(of, base_of.take(word), n)), pa.array(model.run(symbols)), pa.array(np.diff(own)), none(pa.int64(), n), none(pa.int64(), n),
+                    pa.array(np.bincount(of, base_of.take(word), n)), pa.array(scores), pa.array(np.diff(own)), none(pa.int64(), n), none(pa.int64(), n),
                 ], names)
                 rare = np.flatnonzero(word < 0)
-                h, where = np.unique(symbols.hash[rare], return_inverse=True)
+                h, where = np.unique(hashes[rare], return_inverse=True)
                 pairs, m = np.unique(of[rare] * max(len(h), 1) + where, return_counts=True)
                 size = len(pairs)
                 yield pa.RecordBatch.from_arrays([
@@ -665,7 +676,7 @@ def lm_scores(
     )
     out = rows.filter("hash is null").drop("hash", "m").join(added, "row", "left")
     total = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
+    of_model = ["score", (-F.col("score") / F.lit(LOG10_2) / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte")] if with_model else []
     return out.select(
-        "doc_id", "held_out", "n_tokens", total("n_known", "more").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), total("base", "base_more").alias("base_score"),
-        "score", (-F.col("score") / F.lit(LOG10_2) / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte"),
-    )
+        "doc_id", "held_out", "n_tokens", total("n_known", "more").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), total("base", "base_more").alias("base_score"), *of_model
+    )
